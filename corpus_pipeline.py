@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from echolens.llm.common import materialize, table
 from echolens.llm.simhash import one_of_each_group
+from echolens.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each_group(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash_near_dedup", near_dedup)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup)]
 
 #: Several stages (trained scores, fingerprints, subword ids) have no SQL form; tests hold them against brute force.
 ORACLE_SQL: str | None = None
