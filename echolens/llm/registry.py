@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP7_SQL, op7_decontamination
 from .language_id import op2_language_id
 from .lm_scoring import op3_lm_scoring
 from .simhash import op1_simhash_near_dedup
 from .toxicity import op5_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_lm_scoring, op5_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_lm_scoring, op5_toxicity, op7_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
