@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from echolens.llm.common import materialize, table
+from echolens.llm.decontamination import without_leaks
+from echolens.llm.line_dedup import without_lines
+from echolens.llm.pieces import read_model, tokenized
 from echolens.llm.simhash import one_of_each_group
 from echolens.llm.toxicity import without_toxic
 
@@ -16,12 +20,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go; so does a document that had nothing else."""
+    return without_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     return one_of_each_group(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids; text is what they decode to."""
+    out = tokenized(docs, read_model())
+    return out.select(*[F.col("decoded").alias("text") if c == "text" else c for c in docs.columns], "n_tokens", "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
 #: Several stages (trained scores, fingerprints, subword ids) have no SQL form; tests hold them against brute force.
 ORACLE_SQL: str | None = None
