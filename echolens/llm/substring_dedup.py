@@ -10,8 +10,9 @@ in a document make up its maximal repeats.
 Two things keep the groups small. First, of documents with one word sequence only the smallest takes part; the others are
 repeats throughout. Second, a suffix can only reach a deep node if a sampled passage in it is in another document too:
 the smallest hash of the SAMPLE-word passages of a window is the same wherever the window stands, and only windows with
-such a passage in two documents become suffixes. Passages in more than ``hot`` documents get the longest possible prefix,
-the whole path: those groups need no tree, only their smallest document, which is a pre-aggregated minimum and a join.
+such a passage in two documents become suffixes. Suffixes of passages in more than ``hot`` documents have the longest
+prefix, the document's part of the corpus besides the words: each such group holds about PART suffixes of a path, led by
+the path's first document, which a pre-aggregated minimum gives.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import blocks, buffers, materialize, range_hash, table, word_hashes
 
 WINDOW, PREFIX, SAMPLE = 50, 12, 20
-#: Documents that may share a sampled passage before its suffixes are grouped by the whole path.
+#: Documents that may share a sampled passage before its suffixes are dealt out by document too, in
+#: parts of about PART suffixes of a path.
 HOT = 64
+PART = 1000
 #: Bits of the map of documents that are read again: a fixed size; a false hit costs some shuffle and nothing else.
 MAP_BITS = 1 << 23
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -93,19 +96,19 @@ class Windows:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first + r]), pa.array(ids[first + r]), pa.array((s - bounds[r]).astype(np.int32)), _signed(range_hash(words, s, s + self.prefix)), _signed(range_hash(words, s, s + self.window)), pa.array(kind[go] == 2)], ["k", "doc_id", "pos", "prefix", "path", "hot"])
 
     def subtrees(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes in order of (prefix, path, doc_id) to (k, pos) of those below a deep node and not of its first document."""
-        path, first = None, None
+        """Suffixes in order of (prefix, part, path, doc_id) to (k, pos) of those below a deep node and not of its first document."""
+        path, part, first = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            paths, docs = batch.column(4).to_numpy(), batch.column(1).to_numpy()
+            paths, docs, parts = (batch.column(k).to_numpy() for k in (4, 1, 5))
             new = np.ones(len(paths), bool)
-            new[1:] = paths[1:] != paths[:-1]
-            new[0] = path is None or paths[0] != path
+            new[1:] = (paths[1:] != paths[:-1]) | (parts[1:] != parts[:-1])
+            new[0] = path is None or paths[0] != path or parts[0] != part
             run = np.cumsum(new)
             leads = np.concatenate([[first if first is not None else docs[0]], docs[new]])
             repeat = docs > leads[run]
-            path, first = paths[-1], leads[-1]
+            path, part, first = paths[-1], parts[-1], leads[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(repeat)), batch.column(2).filter(pa.array(repeat))], ["k", "pos"])
 
     def remains(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +167,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, sample:
     lists = materialize(lists, f"{tag}-lists")
     texts = _listed(keyed, lists.select("k")).join(lists, "k").dropDuplicates(["k"])
     suffixes = materialize(texts.select("doc_id", "k", "text", "cold", "hot").mapInArrow(step.suffixes, "k long, doc_id long, pos int, prefix long, path long, hot boolean"), f"{tag}-suffixes")
-    cold = suffixes.where("not hot").repartition("prefix").sortWithinPartitions("prefix", "path", "doc_id").mapInArrow(step.subtrees, "k long, pos int")
-    many = suffixes.where("hot")
-    lead = many.groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    warm = many.select("k", "doc_id", "pos", "path").join(lead, "path").where("doc_id > low").select("k", "pos")
-    starts = materialize(cold.unionByName(warm).groupBy("k").agg(F.collect_list("pos").alias("starts")), f"{tag}-starts")
+    # the suffixes of hot passages are dealt out by document too; each part is led by the first document of the path
+    many = suffixes.where("hot").groupBy("prefix", "path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    many = materialize(many, f"{tag}-many")
+    parts = -(-(many.agg(F.max("n").alias("n")).first()["n"] or 1) // PART)
+    part = F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(parts))).otherwise(0).alias("part")
+    leads = many.select(F.lit(0).cast("long").alias("k"), F.col("low").alias("doc_id"), F.lit(-1).alias("pos"), "prefix", "path", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = suffixes.select("k", "doc_id", "pos", "prefix", "path", part).unionByName(leads).repartition("prefix", "part")
+    found = dealt.sortWithinPartitions("prefix", "part", "path", "doc_id").mapInArrow(step.subtrees, "k long, pos int")
+    starts = materialize(found.groupBy("k").agg(F.collect_list("pos").alias("starts")), f"{tag}-starts")
     changed = _listed(keyed, starts.select("k")).select("k", "text").join(starts, "k").dropDuplicates(["k"]).mapInArrow(step.remains, "k long, n_removed long, new_sha string, spans array<array<int>>")
     meta = survey.select("doc_id", "k", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), "k", "left").join(changed, "k", "left")
     copy, none = F.coalesce("copy", F.lit(False)), F.array().cast("array<array<int>>")
