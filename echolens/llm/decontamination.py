@@ -64,7 +64,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     # the empty term stands at the end of each row and so gives the number of words
     spread = keyed.select("doc_id", "k", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "term"))
     index = materialize(spread.join(wanted, "term").select("k", "doc_id", "pos", "term"), f"{tag}-index")
-    postings = index.where("term <> ''").select("k", "pos", "term").distinct()
+    postings = index.where("term <> ''").select("k", "pos", "term")
     corpus = postings.groupBy("term").agg(F.count("*").alias("often"))
     weights = lists.join(corpus, "term").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("place", "often"))).alias("often"))
     # a window with a term that the corpus lacks doesn't occur
@@ -76,17 +76,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     aligned = postings.join(starts, "term").groupBy("k", "item", (F.col("pos") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("met"))
     lines = aligned.join(ready, "item").where(F.exists("pairs", lambda r: F.size(F.array_except(r, F.col("met"))) == 0))
     cases = lines.groupBy("k").agg(F.collect_list(F.struct("item_id", "shift", "len", "iw")).alias("cases"))
-    text = keyed.select("k", "text").join(cases, "k").dropDuplicates(["k"]).select("k", words(F.col("text")).alias("w"), "cases")
+    text = keyed.select("k", "text").join(cases, "k").dropDuplicates(["k"])
 
-    def compare(c: Column) -> Column:
-        agree = F.transform(c["iw"], lambda t, i: F.coalesce(F.get("w", c["shift"] + i) == t, F.lit(False)).cast("int"))
+    def compare(w: Column, c: Column) -> Column:
+        agree = F.transform(c["iw"], lambda t, i: F.coalesce(F.get(w, c["shift"] + i) == t, F.lit(False)).cast("int"))
         return F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["len"].alias("len"), agree.alias("agree"))
 
     def agreement(c: Column) -> Column:
         full = F.transform(F.sequence(F.lit(0), F.size(c["agree"]) - c["len"]), lambda s: F.aggregate(F.slice(c["agree"], s + 1, c["len"]), F.lit(0), lambda x, y: x + y))
         return F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["len"].alias("len"), full.alias("sums"))
 
-    compared = text.select("k", F.transform(F.transform("cases", compare), agreement).alias("c"))
+    # the words are bound as a lambda's argument: a plain column would be split again for every word compared
+    lined_up = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.transform("cases", lambda c: compare(w, c))), F.lit(0))
+    compared = text.select("k", F.transform(lined_up, agreement).alias("c"))
     exact = F.filter("c", lambda x: F.array_max(x["sums"]) == x["len"])
     close = F.filter("c", lambda x: F.exists(x["sums"], lambda s: (s >= near) & (s < x["len"])))
     hit = F.flatten(F.transform("c", lambda x: F.flatten(F.transform(x["sums"], lambda s, i: F.when(s == x["len"], F.sequence(x["shift"] + i, x["shift"] + i + x["len"] - 1)).otherwise(F.array().cast("array<int>"))))))
