@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import decision_queries, gold_queries, recall_queries, state_queries, text_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "decisions_end_to_end"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
