@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     roots = components(links(nodes, trie, tag), tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")
-    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 #: 256 bits over distinct 5-word shingles in eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one size is
