@@ -196,10 +196,14 @@ class Trie:
         while len(a0):
             alive = (a1 > a0) & (b1 > b0) & (diff <= self.budget) & ~((a0 == b0) & (a1 - a0 < 2))
             a0, a1, b0, b1, diff, level, unit_of = (x[alive] for x in (a0, a1, b0, b1, diff, level, unit_of))
-            done = ((a1 - a0) * (b1 - b0) <= 16) | (level >= self.bits)
-            for x0, x1, y0, y1 in zip(a0[done], a1[done], b0[done], b1[done], strict=True):
-                p, q = (v.ravel() for v in np.meshgrid(np.arange(x0, x1), np.arange(y0, y1), indexing="ij")) if x1 - x0 > 1 or y1 - y0 > 1 else (np.array([x0]), np.array([y0]))
-                found.append(np.stack([p, q]))
+            done = ((a1 - a0) * (b1 - b0) <= 32) | (level >= self.bits)
+            if done.any():  # the leaves below a small pair of nodes, all with all
+                wide, times = (b1 - b0)[done], ((a1 - a0) * (b1 - b0))[done]
+                of_pair = np.repeat(np.arange(len(times)), times)
+                place = np.arange(len(of_pair)) - np.repeat(np.cumsum(times) - times, times)
+                p, q = a0[done][of_pair] + place // wide[of_pair], b0[done][of_pair] + place % wide[of_pair]
+                near = _popcount(leaf[p] ^ leaf[q]) <= self.budget
+                found.append(np.stack([p[near], q[near]]))
             a0, a1, b0, b1, diff, level, unit_of = (x[~done] for x in (a0, a1, b0, b1, diff, level, unit_of))
             if not len(a0):
                 break
@@ -211,8 +215,7 @@ class Trie:
             kids = [pick(a0, am, b0, bm, 0), pick(am, a1, bm, b1, 0), pick(a0, am, bm, b1, 1), pick(am, a1, b0, bm, 1, ~same)]
             a0, a1, b0, b1, diff, level, unit_of = (np.concatenate(x) for x in zip(*kids, strict=True))
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        part = _popcount(leaf[p] ^ leaf[q]) <= self.budget
-        near = part & (p != q)
+        near = p != q
         near[near] = _popcount(fps[p[near]] ^ fps[q[near]]).sum(axis=1) <= self.total
         p, q = p[near], q[near]
         label = np.arange(len(node))
