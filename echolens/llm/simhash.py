@@ -8,7 +8,9 @@ the units of work. A root that holds too many leaves is replaced by its child pa
 so no unit grows with the corpus; nothing is capped or dropped.
 
 Only distinct fingerprints take part, exact copies having been merged by a pre-aggregated minimum. Inside a unit the
-links found are reduced to a spanning forest, which keeps every connection without listing all pairs.
+links found are reduced to a minimum spanning forest by differing bits, which keeps every connection at every distance
+without listing all pairs. Where a similarity is asked for, forest links that the fingerprints leave open are then held
+against the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ class Trie:
                 yield pa.RecordBatch.from_arrays([pa.array(trie[go], pa.int32()), pa.array(down[go], pa.int32()), pa.array(ca), pa.array(cb), pa.array(cost[go], pa.int32()), pa.array(sides, pa.int32()), nodes.take(take), fps.take(take)], NAMES)
 
     def join(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units, each with its leaves, to (a, b): a spanning forest of each unit's links."""
+        """Units, each with its leaves, to (a, b, far): a spanning forest of each unit's links, nearest first."""
         for batch in batches:
             unit = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             leaves = batch.column(5)
@@ -215,21 +217,27 @@ class Trie:
             kids = [pick(a0, am, b0, bm, 0), pick(am, a1, bm, b1, 0), pick(a0, am, bm, b1, 1), pick(am, a1, b0, bm, 1, ~same)]
             a0, a1, b0, b1, diff, level, unit_of = (np.concatenate(x) for x in zip(*kids, strict=True))
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        near = p != q
-        near[near] = _popcount(fps[p[near]] ^ fps[q[near]]).sum(axis=1) <= self.total
-        p, q = p[near], q[near]
-        label = np.arange(len(node))
-        while True:  # the smallest label over every link, shortened, until none changes
-            low = np.minimum(label[p], label[q])
-            new = label.copy()
-            np.minimum.at(new, label[p], low)
-            np.minimum.at(new, label[q], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        away = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[away], pa.int64()), pa.array(node[label[away]], pa.int64())], ["a", "b"])
+        far = _popcount(fps[p] ^ fps[q]).sum(axis=1) if len(p) else np.zeros(0, np.int64)
+        near = (p != q) & (far <= self.total)
+        p, q, far = p[near], q[near], far[near]
+        label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
+        for level in np.unique(far):
+            at = np.flatnonzero(far == level)
+            while len(at := at[label[p[at]] != label[q[at]]]):
+                # a link for each cluster that has one at this distance; two that say the same do no harm
+                pick = at[np.unique(label[p[at]], return_index=True)[1]]
+                chosen.append(pick)
+                while True:
+                    low = np.minimum(label[p[pick]], label[q[pick]])
+                    new = label.copy()
+                    np.minimum.at(new, label[p[pick]], low)
+                    np.minimum.at(new, label[q[pick]], low)
+                    new = new[new]
+                    if (new == label).all():
+                        break
+                    label = new
+        keep = np.concatenate(chosen)
+        return pa.RecordBatch.from_arrays([pa.array(node[p[keep]], pa.int64()), pa.array(node[q[keep]], pa.int64()), pa.array(far[keep].astype(np.int32))], ["a", "b", "far"])
 
     @staticmethod
     def _turn(leaf: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -246,7 +254,7 @@ class Trie:
 
 
 def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFrame:
-    """Spanning links (a, b) between the nodes of ``distinct`` (node, fp), all fingerprints being different.
+    """Spanning links (a, b, far) between the nodes of ``distinct`` (node, fp), all fingerprints being different.
 
     ``most``: leaves that one unit may hold before it is split further; a memory bound, not a cap on links.
     """
@@ -259,42 +267,66 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
         fits = (F.col("n") <= most) | (F.col("depth") >= trie.bits)
         small = rows.join(sizes.where(fits).drop("n"), UNIT)
         units = small.groupBy(*UNIT).agg(F.collect_list(F.struct("side", "node", "fp")).alias("leaves"))
-        some = units.mapInArrow(trie.join, "a long, b long")
+        some = units.mapInArrow(trie.join, "a long, b long, far int")
         out = some if out is None else out.unionByName(some)
         large = sizes.where(~fits)
         if large.isEmpty():
             break
         rows = rows.join(large.drop("n"), UNIT).select(*NAMES).mapInArrow(trie.split, ROWS)
-    return out.distinct()
+    return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+
+
+def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag: str) -> DataFrame:
+    """Those of ``edges`` (a, b: doc_ids) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+    edges = materialize(edges.select("a", "b"), f"{tag}-open")
+    wanted = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle, True).view(np.int64) for t in batch.column(1).to_pylist()]
+            cut = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "grams"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    sets = materialize(texts.mapInArrow(run, "node long, grams array<long>"), f"{tag}-sets")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, total: int | None = None, distinct: bool = False, tag: str = "simhash") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, total: int | None = None, distinct: bool = False, similarity: float | None = None, sure: int = 0, tag: str = "simhash") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     A fingerprint has ``words`` 64-bit words cut into parts of ``bits`` bits. Two documents are linked if some part
-    differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). component_id is the smallest
+    differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``, forest
+    links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity. component_id is the smallest
     doc_id reachable over links. Null, empty and blank texts share fingerprint zero and are linked like any other.
     Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node.
     """
     trie = Trie(words, bits, budget, budget if total is None else total)
     prints = materialize(fingerprints(docs, shingle, words, distinct), f"{tag}-fps")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), f"{tag}-nodes")
-    roots = components(links(nodes, trie, tag), tag)
+    edges = links(nodes, trie, tag)
+    if similarity is not None:
+        edges = materialize(edges, f"{tag}-links")
+        edges = edges.where(F.col("far") <= sure).select("a", "b").unionByName(similar(edges.where(F.col("far") > sure), docs, shingle, similarity, tag))
+    roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: 256 bits over distinct 5-word shingles in eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one size is
-#: a cosine of 0.889, an angle of 0.151 of a half turn, so 38.7 of 256 bits are expected to differ.
-NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "total": 38, "distinct": True}
+#: 256 bits over distinct 5-word shingles in eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one size is a
+#: cosine of 0.889, an angle of 0.151 of a half turn: 38.7 of 256 bits are expected to differ, give or take 5.7. Links of up
+#: to 54 bits are looked at (2.7 deviations more); up to 12 bits (4.7 less) they are sure.
+NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
 
 
 def one_of_each_group(docs: DataFrame, tag: str = "simhash-stage") -> DataFrame:
     """Documents without those that another document of their group stands for (the smallest doc_id stays).
 
-    Five-word shingles, similarity 0.8 or more as estimated from 256-bit fingerprints (see NEAR). Blank documents
-    aren't copies of each other and all stay, as do rows with a null doc_id; of rows that share a doc_id, all stay or go.
+    Five-word shingles, Jaccard similarity 0.8 or more (see NEAR). Blank documents aren't copies of each other and all stay,
+    as do rows with a null doc_id; of rows that share a doc_id, all stay or go.
     """
     spoken = docs.where(F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     found = near_duplicates(spoken, **NEAR, tag=tag)
