@@ -144,3 +144,13 @@ def test_streamed_admission_is_idempotent(spark: SparkSession, tmp_path: Path) -
     rows = {r["ord"]: (r["status"], r["arrival_seq"]) for r in spark.read.parquet(out).collect()}
     assert rows[1] == ("accepted", 1) and rows[2] == ("accepted", 2) and rows[5] == ("accepted", 3)
     assert rows[3][0] == "reused" and rows[4][0] == "conflict"
+
+
+def test_chunks_cover_and_overlap() -> None:
+    from echolens.functions import positions
+
+    for text in ("", "短", "句子。" * 400, "x" * 2000, "a sentence. " * 200):
+        spans = positions.cut(text)
+        assert all(0 < b - a <= positions.CHUNK for a, b in spans)
+        assert spans == [] if not text else spans[0][0] == 0 and spans[-1][1] == len(text)
+        assert all(c[0] < a[1] and c[0] > a[0] for a, c in zip(spans, spans[1:], strict=False))
