@@ -116,3 +116,52 @@ def certified_pairs(items: DataFrame, required: DataFrame, least: int = 50) -> D
     rows = rows.withColumn("n_conflicts", F.lit(0)).withColumn("issue", F.lit("FACT_INCOMPLETE")).withColumn("equivalent", F.col("proof").isNotNull())
     outcome, code = pair_outcome(decoupled=True)
     return rows.select("record_id", "cand_id", "cand_seq", "cand_item_id", outcome.alias("outcome"), code.alias("code"))
+
+
+def align_by_dictionary(history: DataFrame, current: DataFrame, aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Facts left over by ``align`` that agree on one core slot through the dictionary (surface, canonical) and on the rest as written.
+
+    First come, first served in the order of the history side: what one fact takes is gone for the next, so each pair's
+    leftovers (a handful of facts) are folded together. The canonical forms come by equi-joins before that.
+    """
+    import pandas as pd
+
+    names = dictionary.select("surface", "canonical")
+
+    def canon(df: DataFrame) -> DataFrame:
+        for slot in ("subject", "predicate"):
+            df = df.join(names.select(F.col("surface").alias(slot), F.col("canonical").alias(f"{slot}_c")), slot, "left").withColumn(f"{slot}_c", F.coalesce(f"{slot}_c", slot))
+        return df.where("subject is not null and predicate is not null")
+
+    columns = ["pair_id", "fact_id", "ord", "subject", "predicate", "key_object", "subject_c", "predicate_c"]
+    fresh = [F.col(x).alias(x) for x in columns]  # the sides may come from one table
+    h = canon(history.join(aligned.select("pair_id", F.col("history_fact").alias("fact_id")), ["pair_id", "fact_id"], "left_anti")).select(*fresh)
+    c = canon(current.join(aligned.select("pair_id", F.col("current_fact").alias("fact_id")), ["pair_id", "fact_id"], "left_anti")).select(*fresh)
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, free = [], right.sort_values(["ord", "fact_id"]).to_dict("records")
+        for x in left.sort_values(["ord", "fact_id"]).to_dict("records"):
+            for y in free:
+                same = [x[s] == y[s] for s in ("subject", "predicate")]
+                alike = [x[f"{s}_c"] == y[f"{s}_c"] for s in ("subject", "predicate")]
+                if all(alike) and sum(same) == 1 and (x["key_object"] or None) == (y["key_object"] or None):
+                    out.append((x["pair_id"], x["fact_id"], y["fact_id"]))
+                    free.remove(y)
+                    break
+        return pd.DataFrame(out, columns=["pair_id", "history_fact", "current_fact"])
+
+    return h.groupBy("pair_id").cogroup(c.groupBy("pair_id")).applyInPandas(fold, "pair_id string, history_fact string, current_fact string")
+
+
+def zipped_numbers(pairs: DataFrame) -> DataFrame:
+    """(pair_id, place, history, current) of two arrays of numbers, by place up to the shorter, and whether lengths differ."""
+    n = F.least(F.size("history"), F.size("current"))
+    uneven = (F.size("history") != F.size("current")).alias("uneven")
+    rows = pairs.select("pair_id", uneven, F.posexplode_outer(F.slice(F.arrays_zip("history", "current"), 1, F.greatest(n, F.lit(0)))).alias("place", "z"))
+    return rows.select("pair_id", "place", F.col("z.history").alias("history"), F.col("z.current").alias("current"), "uneven")
+
+
+def carried_subjects(clauses: DataFrame) -> DataFrame:
+    """Adds the subject in force to (record_id, place, subject): its own, else the last one before it in the text."""
+    before = Window.partitionBy("record_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return clauses.withColumn("carried", F.last("subject", ignorenulls=True).over(before))

@@ -143,3 +143,35 @@ def lookup(requests: DataFrame, mapping: DataFrame, pending: DataFrame, main: Da
 
 def incremental_window(seq: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(1), seq - STALE_WINDOW), seq - 1
+
+
+def watermark_complete(rows: DataFrame) -> DataFrame:
+    """Adds complete: both frontiers (prepared_seq, lexical_seq) reach the number before arrival_seq."""
+    floor = F.col("arrival_seq") - 1
+    return rows.withColumn("complete", F.coalesce((F.col("prepared_seq") >= floor) & (F.col("lexical_seq") >= floor), F.lit(False)))
+
+
+def refreeze(history: DataFrame, increment: DataFrame) -> DataFrame:
+    """The candidate set after an increment: (query_id, cand_id, payload), the later payload winning."""
+    both = history.withColumn("late", F.lit(0)).unionByName(increment.withColumn("late", F.lit(1)))
+    return both.groupBy("query_id", "cand_id").agg(F.max_by("payload", "late").alias("payload"))
+
+
+def quarantine(log: DataFrame, now: Column) -> DataFrame:
+    """Adds gate to log entries (entry, expires_at, conflict): expired and conflict entries block all entries behind them."""
+    bad = F.when(now >= F.col("expires_at"), "expired").when(F.col("conflict"), "conflict")
+    rows = log.withColumn("bad", bad)
+    stop = F.min(F.when(F.col("bad").isNotNull(), F.col("entry"))).over(Window.partitionBy("scope_id"))
+    return rows.withColumn("gate", F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("entry") > stop, "blocked").otherwise("open")).drop("bad")
+
+
+def prechecked(plan: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a plan (history_hash, current_hash, version) whose outcome is cached, and those still to compare, each once."""
+    key = ["history_hash", "current_hash", "version"]
+    return plan.join(cache, key), plan.select(*key).distinct().join(cache, key, "left_anti")
+
+
+def run_mode(rows: DataFrame) -> DataFrame:
+    """What each mode does with a decision: fixed runs no loop, shadow only emits, live commits, parallel_live checks ahead too."""
+    does = F.create_map(*[F.lit(x) for kv in {"fixed": "none", "shadow": "emit", "live": "commit", "parallel_live": "precheck,commit"}.items() for x in kv])
+    return rows.withColumn("does", does[F.col("mode")])
