@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the cluster's shared folder (a local one only where none is set)."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="echolens-")
-        spark.sparkContext.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/families-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.store import kept
 
 
 def families(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,13 +13,13 @@ def families(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Labels take the smallest of their neighbours' and then their label's own label, until nothing changes.
     """
-    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _kept(nodes.select("node", F.col("node").alias("root")).distinct())
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "families")
+    labels = kept(nodes.select("node", F.col("node").alias("root")).distinct(), "families")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         lower = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("old"))
         short = lower.alias("x").join(lower.select(F.col("node").alias("r"), F.col("root").alias("further")).alias("y"), F.col("x.root") == F.col("y.r"), "left")
-        after = _kept(short.select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"))
+        after = kept(short.select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "families")
         labels = after.select("node", "root")
         if after.where("root <> old").isEmpty():
             break

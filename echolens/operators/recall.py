@@ -88,12 +88,13 @@ def bm25_channel(queries: DataFrame, corpus: DataFrame, k: int = BM25_TOP, k1: f
     """
     terms = queries.select("query_id", F.posexplode(T.segments(F.col("text"))).alias("segment", "part")).select("query_id", "segment", F.explode(T.word_tokens(F.col("part"))).alias("term")).groupBy("query_id", "segment", "term").agg(F.count("*").alias("times"))
     words = corpus.select("cand_id", "arrival_seq", T.word_tokens(F.col("text")).alias("words"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean"))
+    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean")).first()
+    n_docs, mean = F.lit(size["n_docs"]), F.lit(size["mean"] or 1.0)
     postings = words.select("cand_id", "arrival_seq", F.size("words").alias("length"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "cand_id", "arrival_seq", "length").agg(F.count("*").alias("tf"))
     often = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(often, "term").crossJoin(F.broadcast(size))  # one row of totals
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    weighted = postings.join(often, "term")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = terms.join(weighted.select("term", "cand_id", "arrival_seq", part.alias("w")), "term").groupBy("query_id", "segment", "cand_id", "arrival_seq").agg(F.round(F.sum(F.col("times") * F.col("w")), 9).alias("score"))
     segment = Window.partitionBy("query_id", "segment").orderBy(F.col("score").desc(), "cand_id")
     best = scored.withColumn("place", F.row_number().over(segment)).where(F.col("place") <= k).groupBy("query_id", "cand_id", "arrival_seq").agg(F.max("score").alias("score"))
@@ -112,13 +113,24 @@ def entity_channel(items: DataFrame, k: int = ENTITY_TOP) -> DataFrame:
 def vector_channel(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_TOP, block: int = 4096) -> DataFrame:
     """The k nearest of ``vectors`` (cand_id, embedding) for each of ``queries`` (query_id, embedding) by cosine, exactly.
 
-    Vectors are met in blocks: each task multiplies its batch with one block of queries and keeps k for each query, so
-    what is shuffled is k rows for each query and batch. Query blocks are numbered and joined on the number.
+    Queries are dealt out in blocks of about ``block``, which bounds what is broadcast; for each block every task multiplies
+    its vectors with it and keeps k for each query, so what is shuffled is k rows for each query and batch.
     """
-    numbered = queries.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block))
-    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    rows = packed.select("block", F.transform("q", lambda x: x["query_id"]).alias("ids"), F.transform("q", lambda x: x["embedding"]).alias("embeddings")).collect()
-    shared = vectors.sparkSession.sparkContext.broadcast([(np.array(r["ids"]), np.array(r["embeddings"], dtype=np.float64)) for r in rows])
+    blocks = max(1, -(-queries.count() // block))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found: DataFrame | None = None
+    for number in range(blocks):
+        rows = queries.where(place == number).select("query_id", "embedding").collect()
+        if rows:
+            some = _nearest_of_block(vectors, np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64), k)
+            found = some if found is None else found.unionByName(some)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, cand_id long, score double, rank int")
+    return top(found, k, [F.col("score").desc(), F.col("cand_id")])
+
+
+def _nearest_of_block(vectors: DataFrame, names: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast([(names, block)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,5 +147,4 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_TOP,
                 row, col = np.nonzero((s >= edge[:, None]) & (s > -9))
                 yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(s[row, col])], ["query_id", "cand_id", "score"])
 
-    found = vectors.select("cand_id", "embedding").mapInArrow(run, "query_id long, cand_id long, score double")
-    return top(found, k, [F.col("score").desc(), F.col("cand_id")])
+    return vectors.select("cand_id", "embedding").mapInArrow(run, "query_id long, cand_id long, score double")

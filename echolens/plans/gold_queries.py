@@ -12,7 +12,7 @@ from .registry import ITEMS, query
 
 
 def family_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents are tied by equal texts and by neighbouring turns' labels: here equal texts and, as groups, (source, quality) of labels."""
+    """Documents are tied to the smallest with the same text, and to the smallest with the same first 40 code points."""
     items = S.items(spark, d)
     first = items.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("item_id").alias("b"))
     edges = items.select(F.col("item_id").alias("a"), F.sha2("text", 256).alias("h")).join(first, "h").select("a", "b")

@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """Cut lineage by a table in the cluster's shared folder (a local one only where none is set)."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="echolens-")
+        spark.sparkContext.setCheckpointDir(found)
+    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, by: str, name: str, first: int = 1) -> DataFrame:
+    """Adds gap-free numbers in the global order of the unique ``by``, without one task seeing all rows: rows are dealt out by
+    ranges, counted by range (one number for each comes to the driver), and numbered within their range."""
+    ranged = kept(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "numbered")
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    offset, pairs = first - 1, []
+    for part in sorted(sizes):
+        pairs += [F.lit(part), F.lit(offset)]
+        offset += sizes[part]
+    start = F.create_map(*pairs)[F.col("range")] if pairs else F.lit(0)
+    return ranged.withColumn(name, (F.row_number().over(Window.partitionBy("range").orderBy(by)) + start).cast("long")).drop("range")
+
+
 def create(stored: DataFrame, new: DataFrame) -> DataFrame:
     """(key, outcome) of inserting ``new`` keys: created, exists, or duplicate if the batch itself repeats one."""
     counted = new.groupBy("key").agg(F.count("*").alias("n")).join(stored.select("key").distinct().withColumn("there", F.lit(True)), "key", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.store import numbered
 from . import state
 
 REQUEST = "ord long, scope_id string, request_id string, item_id string, text string"
@@ -37,8 +38,8 @@ def run_admission(requests: DataFrame, out: str, checkpoint: str) -> StreamingQu
         old = history.join(keys.select("scope_id", "request_id").distinct(), ["scope_id", "request_id"], "left_semi").unionByName(history.join(keys.select("scope_id", "item_id").distinct(), ["scope_id", "item_id"], "left_semi").select(*history.columns)).select(*batch.columns).distinct()
         marked = old.withColumn("ord", F.col("ord") - (1 << 40)).unionByName(batch)
         admitted = state.admit(marked, 1).where("ord > -1000000000").drop("arrival_seq")
-        numbered = admitted.where("status = 'accepted'").select("ord", (F.row_number().over(state.Window.orderBy("ord")) + top).alias("arrival_seq"))
-        receipts = admitted.join(numbered, "ord", "left").join(batch.select("ord", "text"), "ord")
+        numbers = numbered(admitted.where("status = 'accepted'").select("ord"), "ord", "arrival_seq", top + 1)
+        receipts = admitted.join(numbers, "ord", "left").join(batch.select("ord", "text"), "ord")
         receipts.write.mode("overwrite").parquet(target)
 
     return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

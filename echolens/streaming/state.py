@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import numbered
+
 ZONE = "Asia/Shanghai"
 RETENTION_DAYS = 7
 BATCH_ITEMS, BATCH_BYTES, LOG_ITEMS, LOG_BYTES = 8, 512 * 1024, 64, 4 * 1024 * 1024
@@ -40,8 +42,7 @@ def admit(requests: DataFrame, first_seq: int = 1) -> DataFrame:
     new = (F.row_number().over(by("request_id")) == 1) & (F.row_number().over(by("item_id")) == 1)
     status = F.when(new, "accepted").when((F.col("by_request") == body) & (F.col("by_item") == body), "reused").otherwise("conflict")
     marked = seen.withColumn("status", status)
-    # one global order by definition: numbers are given to the accepted rows of a bounded batch
-    numbers = marked.where("status = 'accepted'").select("ord", (F.row_number().over(Window.orderBy("ord")) + (first_seq - 1)).alias("own_seq"))
+    numbers = numbered(marked.where("status = 'accepted'").select("ord"), "ord", "own_seq", first_seq)
     rows = marked.join(numbers, "ord", "left")
     return rows.withColumn("arrival_seq", F.when(F.col("status") != "conflict", F.first("own_seq").over(by("request_id")))).select("ord", "scope_id", "request_id", "item_id", "status", "arrival_seq")
 
