@@ -100,3 +100,20 @@ def stratified(rows: DataFrame, stratum: str, key: str, share: float, seed: str)
     order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
     ranked = rows.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy(stratum)))
     return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") * share + 0.5))).drop("place", "size")
+
+
+def materials(sheets: list[DataFrame]) -> DataFrame:
+    """One catalogue of several sheets (item_id, body, origin): bodies that are the same bytes count once, under their smallest origin."""
+    rows = sheets[0]
+    for s in sheets[1:]:
+        rows = rows.unionByName(s)
+    rows = rows.withColumn("body_hash", F.sha2("body", 256))
+    return rows.groupBy("item_id", "body_hash").agg(F.min("origin").alias("origin"), F.count("*").alias("n_copies"))
+
+
+def review_problems(reviews: DataFrame) -> DataFrame:
+    """(pair_id, problem) of review rows (pair_id, annotator, label, has_evidence, at, reviewed_at): a pair takes two annotators,
+    a label of each with evidence, and reviews that don't come before the annotation."""
+    one = reviews.groupBy("pair_id").agg(F.count_distinct("annotator").alias("n"), F.bool_and("has_evidence").alias("evidence"), F.count_distinct("label").alias("labels"), F.bool_and(F.col("reviewed_at") >= F.col("at")).alias("ordered"))
+    problem = F.when(F.col("n") < 2, "ONE_ANNOTATOR").when(~F.col("evidence"), "EVIDENCE_MISSING").when(~F.col("ordered"), "TIME_ORDER").when(F.col("labels") > 1, "DISAGREEMENT")
+    return one.select("pair_id", problem.alias("problem"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import positions
 from ..functions import text as T
-from ..operators import decide, validate
-from ..sources import store, submissions
+from ..operators import decide, gold, validate
+from ..sources import judgments, store, submissions
 from ..sources import tables as S
 from .registry import ITEMS, query
 
@@ -160,3 +160,30 @@ def scoped_repeats(spark: SparkSession, d: str) -> DataFrame:
     rows = S.table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("record_id"), "text", F.col("turn").alias("seq"), F.col("conv_id").cast("string").alias("scope_id"))
     items = rows.select("record_id", F.col("record_id").alias("item_id"), "text", (F.col("seq") + 1).alias("arrival_seq"), "scope_id", F.lit("").alias("business_date"))
     return recall.hash_channel(items).agg(F.count("*").alias("n"))
+
+
+ANSWERS = [
+    ("a", '```json\n{"verdict":"duplicate","evidence_a":["x"],"evidence_b":["y"]}\n```'), ("b", "no object"), ("c", '{"verdict":"duplicate","verdict":"not_duplicate"}'), ("e", '{"verdict":"maybe"}'), ("f", '{"verdict":"duplicate","evidence_a":[],"evidence_b":["y"]}'), ("g", 'Answer: {"verdict":"not_duplicate"} done'),
+]
+_ANSWERS = [("a", "duplicate", None), ("b", None, "NO_OBJECT"), ("c", "not_duplicate", "REPEATED_KEY"), ("e", "maybe", "VERDICT"), ("f", "duplicate", "EVIDENCE"), ("g", "not_duplicate", None)]
+
+
+@query(S.values({"id": "string", "verdict": "string", "problem": "string"}, _ANSWERS, duck=True))
+def judgment_answers(spark: SparkSession, d: str) -> DataFrame:
+    return judgments.parse(S.literal(spark, {"id": "string", "answer": "string"}, ANSWERS)).select("id", "verdict", "problem")
+
+
+@query("SELECT item_id, sha256(text) AS body_hash, min(origin) AS origin, count(*)::BIGINT AS n_copies FROM (SELECT doc_id::VARCHAR AS item_id, text, 'documents' AS origin FROM documents UNION ALL SELECT item_id::VARCHAR, text, 'benchmark' FROM benchmark) GROUP BY ALL")
+def material_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    one = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("body"), F.lit("documents").alias("origin"))
+    two = S.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("body"), F.lit("benchmark").alias("origin"))
+    return gold.materials([one, two])
+
+
+REVIEWS = [("p1", "x", "dup", True, 1, 2), ("p1", "y", "dup", True, 1, 3), ("p2", "x", "dup", True, 1, 2), ("p3", "x", "dup", True, 1, 2), ("p3", "y", "dup", False, 1, 2), ("p4", "x", "dup", True, 5, 2), ("p4", "y", "dup", True, 1, 2), ("p5", "x", "dup", True, 1, 2), ("p5", "y", "not", True, 1, 2)]
+
+
+@query(S.values({"pair_id": "string", "problem": "string"}, [("p1", None), ("p2", "ONE_ANNOTATOR"), ("p3", "EVIDENCE_MISSING"), ("p4", "TIME_ORDER"), ("p5", "DISAGREEMENT")], duck=True))
+def review_records(spark: SparkSession, d: str) -> DataFrame:
+    columns = {"pair_id": "string", "annotator": "string", "label": "string", "has_evidence": "boolean", "at": "int", "reviewed_at": "int"}
+    return gold.review_problems(S.literal(spark, columns, REVIEWS))
