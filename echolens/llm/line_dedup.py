@@ -42,6 +42,8 @@ def recurring(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, tag: str
     around = F.xxhash64(F.coalesce(F.get("leaves", F.col("at") - 1), edge), F.coalesce(F.get("leaves", F.col("at") + 1), edge))
     each = lines.select("k", "leaf", around.alias("around")).groupBy("leaf", "k").agg(F.min("around").alias("around"))
     often = each.groupBy("leaf", "around").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf")
+    # a table of its own: the join's exchanges then stand alone, and adaptive execution can split a leaf that is everywhere
+    often = materialize(often, f"{tag}-often")
     places = rows.select("k", F.posexplode("leaves").alias("at", "leaf"))
     drop = places.join(often, "leaf").groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("drop"))
     return rows.select("doc_id", "k", F.size("leaves").cast("long").alias("n_lines")).join(drop, "k", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
