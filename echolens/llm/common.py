@@ -155,7 +155,7 @@ def components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), f"{tag}-edges")
     for k in range(rounds):
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy(a).agg(F.min(b).alias("m")).select(a.alias("k"), F.least(a, "m").alias("m"))
+        least = materialize(both.groupBy(a).agg(F.min(b).alias("m")).select(a.alias("k"), F.least(a, "m").alias("m")), f"{tag}-{k}-least")
         large = both.join(least, a == F.col("k")).where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy(a).agg(F.min(b).alias("m")).select(a.alias("k"), "m")
         hung = large.join(small_least, a == F.col("k"))
