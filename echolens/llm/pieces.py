@@ -15,6 +15,7 @@ encoded one by one and remembered, in a table of a bounded size. The tokenizer's
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from array import array
@@ -31,8 +32,8 @@ from .common import table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Words, and pairs of pieces, that a worker remembers.
-REMEMBERED = 300_000
+#: Words, and pairs of pieces, that a worker remembers: when so many are new, those that were not asked for since are dropped.
+REMEMBERED = 200_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -76,7 +77,12 @@ class Pieces:
             raise ValueError("pieces that reach over the start of a word are not supported")
         self.lowest = min((pieces[k][1] for k in self.ids.values()), default=0.0) - 10
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: A newline without a piece stands between words as a space does.
+        self.newline = None if not bpe or "\n" in self.ids else array("i", self.fallback("\n")).tobytes()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.rank = {p: -pieces[k][1] for p, k in self.ids.items()}
+        self.trees: dict[int, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
         self._automaton()
         self.surfaces = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
 
@@ -151,18 +157,54 @@ class Pieces:
             return [self.unknown]
         return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")]
 
+    def tree(self, k: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """What a piece is made of, on its left and its right edge: (part, rank of the merge that takes it up), the piece first.
+
+        None for a piece that its own characters don't merge to.
+        """
+        if k not in self.trees:
+            parts = list(self.pieces[k][0])
+            halves: dict[str, tuple[str, str]] = {}
+            while len(parts) > 1:
+                ranked = [(self.rank.get(x + y, math.inf), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False))]
+                best, i = min(ranked)
+                if best == math.inf:
+                    break
+                halves.setdefault(parts[i] + parts[i + 1], (parts[i], parts[i + 1]))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            edges = []
+            for side in (0, 1):
+                at, edge = parts[0], [(parts[0], math.inf)]
+                while at in halves:
+                    taken = self.rank[at]
+                    at = halves[at][side]
+                    edge.append((at, taken))
+                edges.append(edge)
+            self.trees[k] = (edges[0], edges[1]) if len(parts) == 1 else None
+        return self.trees[k]
+
     def follows(self, one: int, two: int) -> bool:
-        """Whether merging the two pieces alone gives just them."""
-        got = self.pairs.get((one, two))
-        if got is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            got = self.pairs[one, two] = self.merged(self.pieces[one][0] + self.pieces[two][0]) == [one, two]
-        return got
+        """Whether merging the two pieces together leaves them as they are: no part on the inner edges meets before it is taken up.
+
+        On equal ranks the merge further left comes first, so it is the left piece's own before one across the gap, and that
+        before the right piece's own.
+        """
+        left, right = self.tree(one), self.tree(two)
+        if left is None or right is None:
+            return False
+        rank = self.rank.get
+        for x, takes_x in left[1]:
+            for y, takes_y in right[0]:
+                met = rank(x + y)
+                if met is not None and met < takes_x and met <= takes_y:
+                    return False
+        return True
 
     def best(self, text: str) -> list[int]:
         """The pass over a run of text."""
-        goto, fail, also, ends = self.goto, self.fail, self.also, self.ends
+        goto, fail, also, ends, pairs = self.goto, self.fail, self.also, self.ends, self.pairs
+        if len(pairs) >= REMEMBERED:
+            pairs.clear()
         last: list[tuple[int, int] | None] = [None] * (len(text) + 1)  # (length, id) of the piece that ends here; id -1: no piece
         score = [0.0] + [-1e300] * len(text)
         state = 0
@@ -176,8 +218,16 @@ class Pieces:
                 start = i - n
                 if self.bpe:
                     before = last[start]
-                    if start == 0 or before is not None and (before[1] < 0 or self.follows(before[1], k)):
-                        last[i] = (n, k)
+                    if start == 0 or before is not None and before[1] < 0:
+                        fits = self.tree(k) is not None
+                    elif before is None:
+                        fits = False
+                    else:
+                        fits = pairs.get((before[1], k))
+                        if fits is None:
+                            fits = pairs[before[1], k] = self.follows(before[1], k)
+                    if fits:
+                        last[i] = ends[at]
                         break
                 elif (s := score[start] + self.pieces[k][1]) > score[i]:
                     score[i], last[i] = s, (n, k)
@@ -200,25 +250,41 @@ class Pieces:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return np.zeros(0, np.int32)
-        words, out = self.words, []
+        out: list[bytes] = []
         parts = text.split(" ")
         if not self.dummy_prefix or SPACE in text or "" in parts:
             whole = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
             parts = _CHUNK.findall(whole)
         else:
             parts = [SPACE + p for p in parts]
+        words, get, keep = self.words, self.words.get, out.append
         for part in parts:
-            got = words.get(part)
+            got = get(part)
             if got is None:
+                got = self._word(part)
+                if words is not self.words:
+                    words, get = self.words, self.words.get
+            keep(got)
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def _word(self, part: str) -> bytes:
+        """Ids of a word that isn't among the newest: from the older ones, or by the pass."""
+        got = self.older.get(part)
+        if got is None:
+            if self.newline is not None and "\n" in part and not part.startswith(SPACE * 2):
+                lines = part.split("\n")
+                got = self.newline.join((self.words.get(x) or self._word(x)) if x else b"" for x in lines)
+                if len(lines) > 1:
+                    return got
+            else:
                 # equal scores of runs of spaces leave the order of merges open to the place: the merges themselves decide
                 ids = self.merged(part) if self.bpe and part.startswith(SPACE * 2) else self.best(part)
                 got = array("i", ids).tobytes()
-                if len(part) < 64:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
-                    words[part] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
+        if len(part) < 64:
+            if len(self.words) >= REMEMBERED:
+                self.older, self.words = self.words, {}
+            self.words[part] = got
+        return got
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes join to characters, and the prefix space goes."""
