@@ -158,11 +158,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, sample:
     survey = materialize(survey, f"{tag}-survey")
     long = survey.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     firsts = long.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = long.select("k", "doc_id", "one", "two").join(firsts.where("first < last"), ["one", "two"]).where("doc_id > first").select("k").distinct()
+    # tables of their own: the joins' exchanges then stand alone, and adaptive execution can split what is everywhere
+    firsts = materialize(firsts.where("first < last").drop("last"), f"{tag}-firsts")
+    copies = long.select("k", "doc_id", "one", "two").join(firsts, ["one", "two"]).where("doc_id > first").select("k").distinct()
     copies = materialize(copies, f"{tag}-copies")
     own = long.join(copies, "k", "left_anti").select("k", "doc_id", F.explode("samples").alias("sample"))
     shared = own.groupBy("sample").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    listed = own.select("k", "sample").join(shared.select("sample", (F.col("n") > hot).alias("hot")), "sample")
+    shared = materialize(shared.select("sample", (F.col("n") > hot).alias("hot")), f"{tag}-shared")
+    listed = own.select("k", "sample").join(shared, "sample")
     lists = listed.groupBy("k").agg(F.collect_set(F.when(~F.col("hot"), F.col("sample"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("sample"))).alias("hot"))
     lists = materialize(lists, f"{tag}-lists")
     texts = _listed(keyed, lists.select("k")).join(lists, "k").dropDuplicates(["k"])
