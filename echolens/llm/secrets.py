@@ -2,9 +2,10 @@
 
 Base kinds (assign, access, hex) are reported on their own. Weaker parts are gathered too: access identifiers, secret-like
 strings and endpoints. A weak part is reported only when complementary parts stand in its scope: an identifier, a secret
-and an endpoint within SCOPE characters of the secret. Parts are intervals; the join runs on buckets of SCOPE characters,
-in which each kind is first reduced to its outermost ends, so it is an equi-join whose size is that of the parts even in a
-document that holds a hundred thousand of them.
+and an endpoint within SCOPE characters of the secret. Parts are intervals, and what counts is the gap between them; the join
+runs on buckets of SCOPE characters, a part standing in each from its start to its end. In a bucket each kind is first reduced
+to its outermost ends, so it is an equi-join whose size is that of the parts even in a document that holds a hundred thousand
+of them.
 """
 
 from __future__ import annotations
@@ -98,20 +99,22 @@ def scan(docs: DataFrame, tag: str = "secrets", scope: int = SCOPE) -> DataFrame
     rows = materialize(rows, f"{tag}-rows")
     each = rows.where("size(weak) > 0").dropDuplicates(["k"]).select("k", F.explode(F.concat("base", "weak")).alias("p")).select("k", "p.*")
     role = F.when(F.col("rank").isin(KINDS.index("access"), KINDS.index("identifier")), "identifier").when(F.col("rank") == KINDS.index("endpoint"), "endpoint").otherwise("secret")
-    each = each.select("k", "start", "rank", "end", role.alias("role"), F.floor(F.col("start") / scope).alias("bucket"))
-    # a role's outermost starts in a bucket, seen from the bucket itself and from both neighbours
-    ends = each.groupBy("k", "bucket", "role").agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    seen = ends.select("k", "role", "low", "high", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = {}
-    for name in ("identifier", "endpoint"):
-        hit = seen.where(F.col("role") == name)
-        near[name] = hit.groupBy("k", "bucket").agg(F.sort_array(F.collect_list("low")).alias(f"{name}_low"), F.sort_array(F.collect_list("high")).alias(f"{name}_high"))
-    close = lambda name: F.exists(F.concat(f"{name}_low", f"{name}_high"), lambda x: F.abs(x - F.col("start")) <= scope)
-    centres = each.where("role = 'secret'").join(near["identifier"], ["k", "bucket"]).join(near["endpoint"], ["k", "bucket"]).where(close("identifier") & close("endpoint"))
+    each = each.select("k", "start", "rank", "end", role.alias("role"))
+    # a part stands in every bucket from its start to its end
+    placed = each.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+
+    def around(some: DataFrame, *names: str) -> DataFrame:
+        """The outermost ends in a bucket, seen from the bucket itself and from both neighbours; for a gap from there no more is needed."""
+        ends = some.groupBy("k", "bucket", *names).agg(F.min("start").alias("low"), F.max("end").alias("high"))
+        return ends.select("k", *names, "low", "high", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+
+    close = (F.col("low") - F.col("end") <= scope) & (F.col("start") - F.col("high") <= scope)
+    near = around(placed.where("role <> 'secret'"), "role").withColumnRenamed("role", "other")
+    met = placed.where("role = 'secret'").join(near, ["k", "bucket"]).where(close)
+    centres = met.groupBy("k", "start", "rank", "end").agg(F.countDistinct("other").alias("n")).where("n = 2").drop("n")
     # every part within the scope of a complete secret is reported: weak ones only
-    reach = centres.groupBy("k", "bucket").agg(F.min("start").alias("low"), F.max("start").alias("high")).select("k", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "low", "high")
-    reach = reach.groupBy("k", "bucket").agg(F.concat(F.collect_list("low"), F.collect_list("high")).alias("at"))
-    weak = each.where(F.col("rank") >= len(BASE)).join(reach, ["k", "bucket"]).where(F.exists("at", lambda x: F.abs(x - F.col("start")) <= scope))
+    reach = around(placed.join(centres, ["k", "start", "rank", "end"], "left_semi"))
+    weak = placed.where(F.col("rank") >= len(BASE)).join(reach, ["k", "bucket"]).where(close)
     linked = weak.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end"))).alias("linked"))
     joined = rows.join(linked, "k", "left")
     free = F.filter("linked", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
