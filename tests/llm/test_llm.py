@@ -223,6 +223,15 @@ def test_lm_by_joins_agrees(spark: SparkSession, small: str) -> None:
     assert all(one[k].base_score == pytest.approx(two[k].base_score) for k in one)
 
 
+def test_lm_segments_give_the_same_scores(spark: SparkSession, small: str, odd: DataFrame) -> None:
+    """Segments probed where they lie: the broadcast filter's scores, also for null and repeated ids."""
+    train = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = train.unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(4, "another text of the same id")], "doc_id long, text string"))
+    listed = lambda mb: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score(rows, train, "c", limit_mb=mb).collect())
+    one = listed(256)
+    assert listed(0) == one and len({x for x in one if x[1] == 4}) >= 2
+
+
 def test_lm_edges(spark: SparkSession, odd: DataFrame, empty: DataFrame) -> None:
     got = lm_scoring.score(odd, odd).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
