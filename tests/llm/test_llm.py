@@ -232,6 +232,14 @@ def test_lm_segments_give_the_same_scores(spark: SparkSession, small: str, odd:
     assert listed(0) == one and len({x for x in one if x[1] == 4}) >= 2
 
 
+def test_lm_keeps_pairs_seen_once(spark: SparkSession) -> None:
+    """A text that repeats a phrase seen once scores better than the same words in another order."""
+    train = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j * j * 3) % 50}" for j in range(40))) for k in range(20)] + [(99, "one two three four five six")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "one two three four five six"), (2, "two one four three six five")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score(rows, train, "d").collect()}
+    assert got[1] > got[2] + 1
+
+
 def test_lm_edges(spark: SparkSession, odd: DataFrame, empty: DataFrame) -> None:
     got = lm_scoring.score(odd, odd).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
