@@ -10,7 +10,7 @@ so no unit grows with the corpus; nothing is capped or dropped.
 Only distinct fingerprints take part, exact copies having been merged by a pre-aggregated minimum. Inside a unit the
 links found are reduced to a minimum spanning forest by differing bits, which keeps every connection at every distance
 without listing all pairs. Where a similarity is asked for, forest links that the fingerprints leave open are then held
-against the shingle sets themselves.
+against the shingle sets themselves; then all other candidate links between clusters that are still apart.
 """
 
 from __future__ import annotations
@@ -110,10 +110,14 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """How fingerprints of ``words`` 64-bit words are cut into parts, and which links count."""
+    """How fingerprints of ``words`` 64-bit words are cut into parts, and which links count.
 
-    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4) -> None:
+    ``rooted``: a further word names each node's cluster; all links between different clusters are listed, not a forest.
+    """
+
+    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False) -> None:
         self.words, self.bits, self.budget, self.total, self.step = words, bits, budget, total, step
+        self.rooted = rooted
         self.blocks = _blocks(bits, budget)
 
     def leaf(self, fps: np.ndarray, trie: np.ndarray) -> np.ndarray:
@@ -128,7 +132,7 @@ class Trie:
         """A row for each distinct fingerprint and trie: the self pair of the subtree root that it hangs under."""
         for batch in batches:
             nodes, raw = batch.column(0), batch.column(1)
-            parts = _parts(_words(raw, self.words), self.bits) if len(nodes) else np.zeros((0, 1), np.uint64)
+            parts = _parts(_words(raw, self.words + self.rooted)[:, : self.words], self.bits) if len(nodes) else np.zeros((0, 1), np.uint64)
             for p in range(parts.shape[1]):
                 for k, (first, length) in enumerate(self.blocks):
                     prefix = _signed(_rotate(parts[:, p], first, self.bits) >> np.uint64(64 - length))
@@ -143,7 +147,7 @@ class Trie:
             if not len(trie):
                 continue
             fps, nodes = batch.column(7), batch.column(6)
-            leaf = self.leaf(_words(fps, self.words), trie)
+            leaf = self.leaf(_words(fps, self.words + self.rooted)[:, : self.words], trie)
             step = np.minimum(self.step, self.bits - depth)
             down = depth + step
             own = _signed(leaf >> (64 - down).astype(np.uint64))
@@ -182,10 +186,11 @@ class Trie:
         trie, depth, _, _, used = unit
         side = leaves.field("side").to_numpy(zero_copy_only=False)
         node = leaves.field("node").to_numpy(zero_copy_only=False)
-        fps = _words(leaves.field("fp"), self.words)
+        fps = _words(leaves.field("fp"), self.words + self.rooted)
+        root, fps = fps[:, -1], fps[:, : self.words]
         leaf = self.leaf(fps, trie[of])
         order = np.lexsort((leaf, side, of))
-        side, node, fps, leaf, of = side[order], node[order], fps[order], leaf[order], of[order]
+        side, node, fps, leaf, of, root = side[order], node[order], fps[order], leaf[order], of[order], root[order]
         # a node is a run of sorted leaves; the frontier holds pairs of nodes and what they differ in so far
         first = np.searchsorted(of, np.arange(len(trie)))
         last = np.searchsorted(of, np.arange(len(trie)), "right")
@@ -220,6 +225,9 @@ class Trie:
         far = _popcount(fps[p] ^ fps[q]).sum(axis=1) if len(p) else np.zeros(0, np.int64)
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
+        if self.rooted:
+            apart = root[p] != root[q]
+            return pa.RecordBatch.from_arrays([pa.array(node[p[apart]], pa.int64()), pa.array(node[q[apart]], pa.int64()), pa.array(far[apart].astype(np.int32))], ["a", "b", "far"])
         label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
         for level in np.unique(far):
             at = np.flatnonzero(far == level)
@@ -298,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     """(doc_id, fp, component_id) for every document.
 
     A fingerprint has ``words`` 64-bit words cut into parts of ``bits`` bits. Two documents are linked if some part
-    differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``, forest
+    differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``,
     links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity. component_id is the smallest
     doc_id reachable over links. Null, empty and blank texts share fingerprint zero and are linked like any other.
     Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node.
@@ -309,7 +317,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     edges = links(nodes, trie, tag)
     if similarity is not None:
         edges = materialize(edges, f"{tag}-links")
-        edges = edges.where(F.col("far") <= sure).select("a", "b").unionByName(similar(edges.where(F.col("far") > sure), docs, shingle, similarity, tag))
+        held = edges.where(F.col("far") <= sure).select("a", "b").unionByName(similar(edges.where(F.col("far") > sure), docs, shingle, similarity, tag))
+        held = materialize(held, f"{tag}-held")
+        # a forest link that failed may have stood for one that holds: all other links between clusters still apart are checked
+        root = F.unhex(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"))
+        rooted = materialize(nodes.join(components(held, f"{tag}-first"), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{tag}-rooted")
+        more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True), f"{tag}-more").join(edges.select("a", "b"), ["a", "b"], "left_anti")
+        edges = held.unionByName(similar(more, docs, shingle, similarity, f"{tag}-more"))
     roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")

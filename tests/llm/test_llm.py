@@ -133,6 +133,30 @@ def test_near_copies_of_five_words(spark: SparkSession) -> None:
     assert near <= 2
 
 
+def test_links_beyond_the_forest_are_checked(spark: SparkSession) -> None:
+    """A family with similarities on both sides of 0.8: groups as if every candidate link were checked."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = {}
+    for k in range(110):
+        copy = list(base)
+        for place in rng.sample(range(200), rng.choice([2, 3])):
+            copy[place] = f"x{rng.randrange(5000)}"
+        texts[k] = " ".join(copy)
+    sets = {k: simhash.shingle_hashes(t.encode(), 5, True) for k, t in texts.items()}
+    parts = {k: simhash.majority_bits(h, 4).view(np.uint32) for k, h in sets.items()}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            far = np.bitwise_count(parts[a] ^ parts[b]).astype(int)
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if far.min() <= simhash.NEAR["budget"] and far.sum() <= simhash.NEAR["total"] and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **simhash.NEAR).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
 # ---- 2 languages, 5 toxicity
 
 
