@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
 #: 256 bits over distinct 5-word shingles in eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one size is a
 #: cosine of 0.889, an angle of 0.151 of a half turn: 38.7 of 256 bits are expected to differ, give or take 5.7. Links of up
 #: to 54 bits are looked at (2.7 deviations more); up to 12 bits (4.7 less) they are sure.
-NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
+NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 4, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
 
 
 def one_of_each_group(docs: DataFrame, tag: str = "simhash-stage") -> DataFrame:
