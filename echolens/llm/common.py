@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,23 +26,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder. Where none is set, one of our own, which only a local master may have: all its tasks see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="echolens-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss takes it."""
+#: Tables written since each open ``scratch`` began.
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and no executor's loss takes it.
+
+    The table goes with ``discard``, at the end of the ``scratch`` around it (unless it is ``lasting``), or with the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/echolens-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _path(spark, path)
+    files.deleteOnExit(where)
+    if _SCRATCH and not lasting:
+        _SCRATCH[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._echolens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        files, where = _path(df.sparkSession, df._echolens_path)
+        files.delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end: for a step whose result has itself been written."""
+    own: list[tuple[SparkSession, str]] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        for spark, path in own:
+            files, where = _path(spark, path)
+            files.delete(where, True)
+
+
+def row_key(identity: str, text: str = "text") -> Column:
+    """128 bits (binary) that tell rows apart by id and text: rows that agree in both share a key, and get the same result."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(part(identity), F.lit("\x00"), part(text)).cast("binary")))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores in front as it takes not to be one of ``taken`` (case aside)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def with_columns_after(columns: list[str], new: list[str]) -> list[int]:
+    """Places of the ``columns`` that stay when columns named ``new`` are added: a new column takes the place of an old one of its name."""
+    low = {x.lower() for x in new}
+    return [k for k, c in enumerate(columns) if c.lower() not in low]
 
 
 def crc_of(column: str, modulus: int) -> Column:
@@ -86,14 +145,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers that a worker keeps between texts; those of longer texts are made anew.
+_KEPT_POWERS = 1 << 22
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, 0 to n."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _POWERS[0], _POWERS[1]
+    if _POWERS and len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n + 1, 1 << 16)
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    both = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size <= _KEPT_POWERS:
+        _POWERS[:] = both
+    return both
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
