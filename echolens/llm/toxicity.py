@@ -4,6 +4,10 @@ Terms are words and word beginnings, hashed into BUCKETS. On a bounded, stratifi
 buckets that tell the classes apart best are kept; over these the machine learns a bias, linear weights and, by factors, a
 weight for each pair, so two terms can mean more together than apart. Classes are weighted back to their true shares, which
 keeps the scores probabilities. The model's size is fixed by the parameters; it is broadcast.
+
+Only labels of the rows handed in as training rows are ever looked at, also in the counts of classes. Null, empty and blank
+texts have no terms: their score is the bias alone, 0 to 1 like any other. Equal texts have equal scores, and repeated rows
+each keep theirs. Ids are used for the choice of the sample alone.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE_LOWER, blocks, buffers, held_out, mix64, powers, table
+from .common import _BYTE_LOWER, blocks, buffers, discard, free_name, held_out, materialize, mix64, powers, table, with_columns_after
 
 BUCKETS = 1 << 20
 FEATURES = 4096
@@ -53,22 +57,24 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield rows[long], (h >> np.uint64(44)).astype(np.int64)
 
 
-def pairs(column: pa.Array, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) of the texts, sorted; features are buckets, or their places where ``place`` has one."""
+def pairs(column: pa.Array, place: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, row, feature, count) of runs of rows, a block of text at a time: each row of ``column`` is in one run.
+
+    row (from 0 in its run) and feature are sorted; features are buckets, or their places where ``place`` has one. Only one
+    block's terms are held at a time.
+    """
     data, offsets = buffers(column)
-    width = BUCKETS if place is None else FEATURES
-    out = []
+    width = BUCKETS if place is None else len(place)
     for first, last in blocks(offsets):
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for rows, bucket in terms(data, offsets[first : last + 1]):
             if place is not None:
                 bucket = place[bucket]
                 rows, bucket = rows[bucket >= 0], bucket[bucket >= 0].astype(np.int64)
-            out.append(np.stack(np.unique((rows + first) * width + bucket, return_counts=True)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate(out, axis=1)
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys // width, keys % width, np.bincount(back, counts).astype(np.int64)
+            some, n = np.unique(rows * width + bucket, return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        yield first, last, keys // width, keys % width, counts
 
 
 class Machine:
@@ -86,10 +92,13 @@ class Machine:
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(*pairs(column, self.place), len(column)), -500, 500)))
+        out = np.zeros(len(column))
+        for first, last, row, feature, count in pairs(column, self.place):
+            out[first:last] = self.margin(row, feature, count, last - first)
+        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray, place: np.ndarray, rounds: int = 200) -> Machine:
+def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray, place: np.ndarray, features: int, rounds: int = 200) -> Machine:
     """Weighted logistic loss by Adam over the whole (bounded) sample; ridge on weights and factors."""
     rng, n, m = np.random.default_rng(7), len(label), max(int(feature.max(initial=0)) + 1, 1)
     x = np.log1p(count)
@@ -111,34 +120,40 @@ def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, label: np.ndarr
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
             p[k] = p[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
-    linear, factors = np.zeros(FEATURES), np.zeros((FEATURES, FACTORS))
+    linear, factors = np.zeros(features), np.zeros((features, FACTORS))
     linear[:m], factors[:m] = p["linear"], p["factors"]
     return Machine(place, float(p["bias"][0]), linear, factors)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    """A machine from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of which about ``per_class`` documents of each
-    class are used. Repeated labels of a document count as toxic if one is. No label, or one class: a constant score."""
-    none = Machine(np.full(BUCKETS, -1, np.int32), -20.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS)))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES, tag: str = "toxicity") -> Machine:
+    """A machine from ``docs`` (doc_id, text) and the labels (doc_id, toxic) of these documents, no others'.
+
+    About ``per_class`` documents of each class are used, and the ``features`` best buckets. Repeated labels of a document
+    count as toxic if one is. No label, or one class: a constant score.
+    """
+    none = Machine(np.full(BUCKETS, -1, np.int32), -20.0, np.zeros(features), np.zeros((features, FACTORS)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    labels = materialize(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), f"{tag}-labels")
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1):
         return none
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = {k: min(1.0, per_class / v) for k, v in counts.items()}
     some = labels.where(place < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    # about 2 * per_class rows of two numbers: bounded by the parameter
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    # about 2 * per_class rows of two numbers: bounded by the parameter, and so is the sample, which is read several times
+    sample = materialize(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"), f"{tag}-sample")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, BUCKETS), np.int64)
+        n = np.zeros((2, BUCKETS), np.int32)
         for batch in batches:
-            row, bucket, _ = pairs(batch.column(0), None)
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)[row]
-            for k in (0, 1):
-                n[k] += np.bincount(bucket[toxic == k], minlength=BUCKETS)
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, _, row, bucket, _ in pairs(batch.column(0), None):
+                toxic = label[first + row]
+                for k in (0, 1):
+                    np.add.at(n[k], bucket[toxic == k], 1)
         at = np.flatnonzero(n.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[1, at]), pa.array(n[0, at])], ["bucket", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[1, at], pa.int64()), pa.array(n[0, at], pa.int64())], ["bucket", "pos", "neg"])
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -146,40 +161,46 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
         return none if not n1 else Machine(none.place, 20.0, none.linear, none.factors)
     sums = sample.mapInArrow(seen, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     far = F.abs(F.col("pos") / n1 - F.col("neg") / n0) / F.sqrt((F.col("pos") + F.col("neg") + 1) / (n1 + n0))
-    best = sums.where("pos + neg >= 3").orderBy(far.desc(), "bucket").limit(FEATURES).select("bucket").collect()
+    best = sums.where("pos + neg >= 3").orderBy(far.desc(), "bucket").limit(features).select("bucket").collect()
     where = np.full(BUCKETS, -1, np.int32)
     where[[r["bucket"] for r in best]] = np.arange(len(best))
     shared = docs.sparkSession.sparkContext.broadcast(where)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, feature, count = pairs(batch.column(0), shared.value)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            lists = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, pa.int32()))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), lists(feature), lists(np.minimum(count, 1 << 30))], ["toxic", "feature", "n"])
-
-    got = sample.mapInArrow(kept, "toxic int, feature array<int>, n array<int>").toArrow().combine_chunks()
-    label = got.column("toxic").to_numpy().astype(float)
-    lists = [got.column(k).combine_chunks() if isinstance(got.column(k), pa.ChunkedArray) else got.column(k) for k in ("feature", "n")]
-    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
-    length = np.diff(lists[0].offsets.to_numpy())
-    feature, count = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+            for first, last, row, feature, count in pairs(batch.column(0), shared.value):
+                cut = pa.array(np.searchsorted(row, np.arange(last - first + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(v, pa.int32())) for v in (feature, np.minimum(count, 1 << 30))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first).cast(pa.int32()), *lists], ["toxic", "feature", "n"])
+
+    label, length, feature, count = [], [], [], []
+    for batch in sample.mapInArrow(kept, "toxic int, feature array<int>, n array<int>").toArrow().to_batches():
+        label.append(batch.column(0).to_numpy().astype(float))
+        length.append(np.diff(batch.column(1).offsets.to_numpy()))
+        feature.append(batch.column(1).flatten().to_numpy())
+        count.append(batch.column(2).flatten().to_numpy())
+    label, length, feature, count = (np.concatenate(x) for x in (label, length, feature, count))
+    discard(labels, sample)
     weight = np.where(label == 1, counts[1] / max((label == 1).sum(), 1), counts.get(0, 0) / max((label == 0).sum(), 1))
-    return fit(np.repeat(np.arange(len(label)), length), feature, count, label, weight, where)
+    return fit(np.repeat(np.arange(len(label)), length), feature.astype(np.int64), count.astype(np.int64), label, weight, where, features)
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 at THRESHOLD or more) to all columns of ``docs``; null texts count as empty."""
+def scored(docs: DataFrame, machine: Machine, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 at THRESHOLD or more) to ``docs``, in place of columns of these names.
+
+    Null texts count as empty. All other columns, whatever their names, are handed on as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((machine.place, machine.bias, machine.linear, machine.factors))
-    names, at = docs.columns, docs.columns.index("text")
+    at, keep = docs.columns.index("text"), with_columns_after(docs.columns, [score, predicted])
+    names = [docs.columns[k] for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Machine(*shared.value)
         for batch in batches:
-            score = known.score(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+            value = known.score(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], [*names, score, predicted])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
+    schema = ", ".join(f"`{docs.schema[k].name}` {docs.schema[k].dataType.simpleString()}" for k in keep) + f", `{score}` double, `{predicted}` int"
     return docs.mapInArrow(run, schema)
 
 
@@ -188,12 +209,17 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's score. A null text is scored as an empty one, a null doc_id is not held out; repeated rows each get theirs."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    machine = train(training_rows(docs), table(spark, sf_dir, "labels"))
+    machine = train(training_rows(docs), table(spark, sf_dir, "labels"), tag="op5")
     ready = docs.select("doc_id", held_out("doc_id", 4).alias("held_out"), "text")
     return scored(ready, machine).select("doc_id", "held_out", "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those scored THRESHOLD or more by a machine learnt from the labelled rows that aren't held out."""
-    return scored(docs, train(training_rows(docs), labels)).where("predicted = 0").select(*docs.columns)
+    """``docs`` without those scored THRESHOLD or more by a machine learnt from the labelled rows that aren't held out.
+
+    Empty and null texts are scored like any other; an empty table stays one; repeated rows stay or go together.
+    """
+    score, predicted = free_name(docs.columns, "score"), free_name(docs.columns, "predicted")
+    return scored(docs, train(training_rows(docs), labels, tag="toxicity-stage"), score, predicted).where(F.col(predicted) == 0).select(*docs.columns)
