@@ -3,6 +3,8 @@
 Counts come from a bounded, stratified sample of labelled rows (``per_language`` documents of each language, whole texts)
 and are summed on the executors. The log-probability matrix has one row for each language and BUCKETS columns, so its size
 is set by the label set and not by the corpus; it is broadcast, and each Arrow batch is scored in numpy.
+
+Texts of any length take one way: their n-grams are gone through in steps, each taking those that begin in it.
 """
 
 from __future__ import annotations
@@ -23,35 +25,51 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 #: Characters of text that one step holds.
 STEP = 1 << 20
+#: Languages that a model may tell apart: a bound of the matrix that is broadcast, beyond which training is refused.
+MOST_LANGUAGES = 400
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the lower-cased texts, and the text that each belongs to, in order of texts."""
-    codes = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    lengths = np.array([len(c) for c in codes])
-    flat = np.concatenate(codes).astype(np.uint64)
-    of = np.repeat(np.arange(len(texts)), lengths)
-    buckets, owners = [], []
-    for n in SIZES:
-        if len(flat) < n:
-            continue
-        h = np.full(len(flat) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h * np.uint64(0x100000001B3)) ^ (flat[k : len(flat) - n + 1 + k] * _MULTIPLIERS[k])
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        inside = of[: len(h)] == of[n - 1 :]
-        buckets.append((h >> np.uint64(48)).astype(np.int64)[inside])
-        owners.append(of[: len(h)][inside])
-    return np.concatenate(buckets), np.concatenate(owners)
-
-
-def pieces(text: str) -> Iterator[str]:
-    """A long text in parts of a bounded size; parts overlap by what the longest n-gram needs, less its own margin."""
-    for low in range(0, max(len(text), 1), STEP):
-        yield text[low : low + STEP]
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, owners) of all n-grams of the lower-cased texts with a blank at each end, STEP characters' at a time.
+
+    owners: which text each belongs to, ascending in each step. An n-gram is given once, in the step where it begins.
+    """
+    made = [f" {t.lower()} " for t in texts]
+    ends = np.cumsum([len(t) for t in made])
+    flat, total, more = "".join(made), int(ends[-1]) if len(ends) else 0, max(SIZES) - 1
+    for low in range(0, total, STEP):
+        codes = np.frombuffer(flat[low : low + STEP + more].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        of = np.searchsorted(ends, np.arange(low, low + len(codes)), "right")
+        buckets, owners = [], []
+        for n in SIZES:
+            m = min(len(codes) - n + 1, STEP)
+            if m <= 0:
+                continue
+            h = np.full(m, n, np.uint64)
+            for k in range(n):
+                h = (h * np.uint64(0x100000001B3)) ^ (codes[k : m + k] * _MULTIPLIERS[k])
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            inside = of[:m] == of[n - 1 : m + n - 1]
+            buckets.append((h >> np.uint64(48)).astype(np.int64)[inside])
+            owners.append(of[:m][inside])
+        bucket, owner = np.concatenate(buckets), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        yield bucket[order], owner[order]
+
+
+def runs(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` characters together; a longer text stands alone."""
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= limit):
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +78,8 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
             into = sums.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
-            for part in pieces(text.as_py() or ""):
-                into += np.bincount(grams([part])[0], minlength=BUCKETS)
+            for bucket, _ in grams([text.as_py() or ""]):
+                into += np.bincount(bucket, minlength=BUCKETS)
     for lang, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -76,43 +94,35 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log posteriors up to a constant, a row for each text."""
         out = np.tile(self.priors, (len(texts), 1))
-        bucket, of = grams(texts)
-        order = np.argsort(of, kind="stable")
-        bucket, starts = bucket[order], np.searchsorted(of[order], np.arange(len(texts)))
-        for k in range(len(self.langs)):
-            out[:, k] += np.add.reduceat(self.logs[k][bucket], starts, dtype=np.float64)
+        for bucket, owner in grams(texts):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            for k in range(len(self.langs)):
+                out[owner[starts], k] += np.add.reduceat(self.logs[k][bucket], starts, dtype=np.float64)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior of each text; UNKNOWN with 0 for one without a letter."""
+        """Language and posterior of each text; UNKNOWN with 0 for one without a letter. Ties: the first language in order of name."""
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return langs, scores
         asked = [k for k, t in enumerate(texts) if _LETTER.search(t)]
-        low = 0
-        while low < len(asked):
-            high, size = low, 0
-            while high < len(asked) and (high == low or size + len(texts[asked[high]]) <= STEP):
-                size += len(texts[asked[high]])
-                high += 1
-            if size > STEP:  # one long text, in parts that are summed
-                parts = [self.scores([p]) - self.priors for p in pieces(texts[asked[low]])]
-                got = np.sum(parts, axis=0) + self.priors
-            else:
-                got = self.scores([texts[k] for k in asked[low:high]])
-            best = got.argmax(axis=1)  # ties: the first language in order of name
+        for low, high in runs([texts[k] for k in asked], STEP):
+            got = self.scores([texts[k] for k in asked[low:high]])
+            best = got.argmax(axis=1)
             post = 1 / np.exp(got - got.max(axis=1, keepdims=True)).sum(axis=1)
             for k, b, p in zip(asked[low:high], best, post, strict=True):
                 langs[k], scores[k] = self.langs[b], p
-            low = high
         return langs, scores
 
 
 def train(labelled: DataFrame, per_language: int = 2000) -> Model:
     """A model from rows (doc_id, text, lang). At most about ``per_language`` documents of each language are used, those
-    whose hashed doc_id is smallest as a fraction; a language with fewer gives all it has. No labelled row: no languages."""
+    whose hashed doc_id is smallest as a fraction; a language with fewer gives all it has. No labelled row: no languages.
+    More than MOST_LANGUAGES different labels are refused: the matrix has a row for each."""
     labelled = labelled.where("lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
@@ -129,7 +139,10 @@ def train(labelled: DataFrame, per_language: int = 2000) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to (doc_id, held_out, text); null or letterless texts are ``und`` with score 0."""
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``; null or letterless texts are ``und`` with score 0.
+
+    A prediction is a function of the text alone: repeated rows, and rows of equal texts, get equal ones. Ids may be null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.priors, model.logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,5 +155,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's language. A null text is ``und``, a null doc_id is not held out; repeated rows each get theirs."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang").withColumn("held_out", held_out("doc_id", 4))
     return identify(docs, train(docs.where(~F.col("held_out"))))
