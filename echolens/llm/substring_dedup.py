@@ -1,18 +1,22 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-Every word position with WINDOW words ahead starts a suffix, cut at WINDOW words. Edges of the trees are named by
-fingerprints of the words on them, so a path is (fingerprint of the first PREFIX words, fingerprint of all WINDOW words)
-and a shuffled suffix takes a few dozen bytes whatever its text. Suffixes are dealt out by prefix: those that share one
-meet in one place, sorted, and sorted suffixes with their common lengths are the subtree in order; an internal node of
-depth WINDOW or more is a run of equal paths, and its suffixes outside the smallest document are repeats. Runs that touch
-in a document make up its maximal repeats.
-
-Two things keep the groups small. First, of documents with one word sequence only the smallest takes part; the others are
-repeats throughout. Second, a suffix can only reach a deep node if a sampled passage in it is in another document too:
-the smallest hash of the SAMPLE-word passages of a window is the same wherever the window stands, and only windows with
-such a passage in two documents become suffixes. Suffixes of passages in more than ``hot`` documents have the longest
-prefix, the document's part of the corpus besides the words: each such group holds about PART suffixes of a path, led by
-the path's first document, which a pre-aggregated minimum gives.
+Every word position with WINDOW words ahead starts a suffix, read to a depth of WINDOW words. Suffixes are dealt out by prefix, and
+those that share one meet in one place, where they are sorted by their words and the common lengths of neighbours are taken:
+a subtree in order. Runs of neighbours that have WINDOW words or more in common are its deep internal nodes; the suffixes of a node
+outside its smallest document are repeats, and repeats that touch in a document make up its maximal repeats.
+
+Two things keep the subtrees few. Of documents with one word sequence only the smallest takes part; the others are repeats
+throughout. And a suffix can only reach a deep node if a passage in it is in another document too: the anchor of a suffix is the
+passage of SAMPLE words in its window with the smallest hash, the first of equals. Equal windows have equal anchors in equal
+places, so suffixes are kept by anchor, and only those whose anchor is in two documents take part. The suffixes of one anchor
+begin within WINDOW - SAMPLE words before it, so one record of words holds them all.
+
+The prefix that deals a record out is the beginning of its anchor, as long as it takes: of the lengths PREFIXES the first that no more
+than MOST suffixes share. Records whose whole anchor is shared by more are dealt out by document besides; the records that
+hold the first document of a window, found by a pre-aggregated minimum, then go to every part, so each part's nodes know their
+smallest document. So a subtree holds about MOST suffixes, whatever repeats.
+
+Words are known by 48 bits of a hash, in the order of which suffixes are sorted.
 """
 
 from __future__ import annotations
@@ -25,32 +29,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, materialize, range_hash, table, word_hashes
+from .common import blocks, buffers, discard, materialize, range_hash, row_key, table, word_hashes
 
-WINDOW, PREFIX, SAMPLE = 50, 12, 20
-#: Documents that may share a sampled passage before its suffixes are dealt out by document too, in
-#: parts of about PART suffixes of a path.
-HOT = 64
-PART = 1000
+WINDOW, SAMPLE = 50, 20
+#: Words of the anchor that deal records out, shortest first; the last is the whole anchor.
+PREFIXES = (2, 5, 10, SAMPLE)
+#: Suffixes of one subtree, about.
+MOST = 50_000
+WORD_BYTES = 6
 #: Bits of the map of documents that are read again: a fixed size; a false hit costs some shuffle and nothing else.
 MAP_BITS = 1 << 23
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def fingerprints(words: np.ndarray, bounds: np.ndarray, window: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, rows, samples): the windows of the rows and the smallest hash of their sampled passages."""
+def windows(words: np.ndarray, bounds: np.ndarray, window: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, rows, anchors, hashes): the windows of the rows, where their anchors begin, and the anchors' hashes."""
     starts = np.arange(max(len(words) - window + 1, 0))
     rows = np.searchsorted(bounds, starts, "right") - 1
     whole = starts + window <= bounds[rows + 1]
     if not whole.any():
-        return starts[:0], rows[:0], np.zeros(0, np.uint64)
-    passages = np.arange(len(words) - sample + 1)
-    least, have, need = range_hash(words, passages, passages + sample), 1, window - sample + 1
-    while have < need:  # the minimum over twice as many, until all passages of a window are in
+        return starts[:0], rows[:0], starts[:0], np.zeros(0, np.uint64)
+    at = np.arange(len(words) - sample + 1)
+    passage, have, need = range_hash(words, at, at + sample), 1, window - sample + 1
+    while have < need:  # the first of the smallest among twice as many, until all passages of a window are in
         step = min(have, need - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        one, two = at[: len(at) - step], at[step:]
+        at = np.where(passage[one] <= passage[two], one, two)
         have += step
-    return starts[whole], rows[whole], least[: len(starts)][whole]
+    at = at[: len(starts)][whole]
+    return starts[whole], rows[whole], at, passage[at]
+
+
+def sorted_suffixes(suffixes: np.ndarray, word_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of rows of bytes: their order by words, and how many words each has in common with the one before it."""
+    n, width = suffixes.shape
+    order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable")
+    common = np.zeros(n, np.int64)
+    for low in range(1, n, 1 << 16):
+        here = suffixes[order[low - 1 : low + (1 << 16)]]
+        other = here[1:] != here[:-1]
+        common[low : low + len(other)] = np.where(other.any(axis=1), other.argmax(axis=1), width) // word_bytes
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs of sorted suffixes below an internal node of ``depth`` or more, half-open: two suffixes at least."""
+    inside = np.concatenate([common >= depth, [False]])
+    inside[0] = False
+    first = np.flatnonzero(~inside[:-1] & inside[1:])
+    last = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    return first, last
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -58,58 +86,105 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 class Windows:
-    def __init__(self, window: int, sample: int, prefix: int) -> None:
-        self.window, self.sample, self.prefix = window, sample, prefix
+    def __init__(self, window: int, sample: int, prefixes: tuple[int, ...]) -> None:
+        self.window, self.sample, self.prefixes = window, sample, prefixes
 
     def survey(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, k, text) to (doc_id, k, n_words, one, two, sha, samples)."""
+        """(doc_id, k, text) to (doc_id, k, n_words, one, two, sha, anchors)."""
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             for first, last in blocks(offsets):
                 words, bounds = word_hashes(data, offsets[first : last + 1], lower=False)
-                _, rows, samples = fingerprints(words, bounds, self.window, self.sample)
+                _, rows, _, anchors = windows(words, bounds, self.window, self.sample)
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
-                lists = [np.unique(samples[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                lists = [np.unique(anchors[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 one = range_hash(words, bounds[:-1], bounds[1:])
                 two = range_hash(words ^ np.uint64(0x5851F42D4C957F2D), bounds[:-1], bounds[1:])
                 sha = [hashlib.sha256(b" ".join(data[a:b].tobytes().split())).hexdigest() for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True)]
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), _signed(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array(sha), flat], ["doc_id", "k", "n_words", "one", "two", "sha", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array(sha), flat], ["doc_id", "k", "n_words", "one", "two", "sha", "anchors"])
+
+    def records(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, k, text, wanted) to (k, doc_id, pos, n, words, p0, p1, ...), one row for each wanted anchor.
 
-    def suffixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, k, text, cold, hot) to (k, doc_id, pos, prefix, path, hot), one row for each candidate window."""
+        pos: the place of the first suffix of the anchor; n: how many follow one another from there; words: those of all.
+        """
+        names = ["k", "doc_id", "pos", "n", "words", *(f"p{j}" for j in range(len(self.prefixes)))]
         for batch in batches:
-            ids, keys = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = buffers(batch.column(2))
             for first, last in blocks(offsets):
                 words, bounds = word_hashes(data, offsets[first : last + 1], lower=False)
-                starts, rows, samples = fingerprints(words, bounds, self.window, self.sample)
-                kind = np.zeros(len(starts), np.int8)
+                starts, rows, at, anchors = windows(words, bounds, self.window, self.sample)
+                go = np.zeros(len(starts), bool)
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
                 for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                    for code, column in ((1, 3), (2, 4)):
-                        wanted = batch.column(column)[first + r].values
-                        if wanted is not None and len(wanted):
-                            kind[a:b][np.isin(samples[a:b], wanted.to_numpy().view(np.uint64))] = code
-                go = kind > 0
-                s, r = starts[go], rows[go]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + r]), pa.array(ids[first + r]), pa.array((s - bounds[r]).astype(np.int32)), _signed(range_hash(words, s, s + self.prefix)), _signed(range_hash(words, s, s + self.window)), pa.array(kind[go] == 2)], ["k", "doc_id", "pos", "prefix", "path", "hot"])
+                    go[a:b] = np.isin(anchors[a:b], batch.column(3)[first + r].values.to_numpy().view(np.uint64))
+                starts, rows, at = starts[go], rows[go], at[go]
+                head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+                n = np.diff(np.append(head, len(at)))
+                low, row = starts[head], rows[head]
+                high = low + n + self.window - 1
+                raw = words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+                held = pa.array([raw[a:b] for a, b in zip((low * WORD_BYTES).tolist(), (high * WORD_BYTES).tolist(), strict=True)], pa.binary())
+                take = pa.array(first + row)
+                prefixes = [_signed(range_hash(words, at[head], at[head] + p)) for p in self.prefixes]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(0).take(take), pa.array((low - bounds[row]).astype(np.int32)), pa.array(n.astype(np.int32)), held, *prefixes], names)
+
+    def spread(self, n: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffixes, record, offset): all suffixes of the records, a row of bytes each."""
+        width, out = self.window * WORD_BYTES, []
+        for data in words:
+            flat = np.frombuffer(data, np.uint8)
+            out.append(np.lib.stride_tricks.sliding_window_view(flat, width)[::WORD_BYTES])
+        record = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(record)) - np.repeat(np.cumsum(n) - n, n)
+        return np.concatenate(out) if out else np.zeros((0, width), np.uint8), record, offset
+
+    def named(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, doc_id, pos, n, words) to (one, two, doc_id, k, pos): 128 bits for each suffix, with the record it is in."""
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                some = batch.slice(low, 512)
+                n = some.column(3).to_numpy()
+                suffixes, record, _ = self.spread(n, some.column(4).to_pylist())
+                both = np.frombuffer(b"".join(hashlib.md5(x.tobytes()).digest() for x in suffixes), np.int64).reshape(-1, 2)
+                take = pa.array(record)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), some.column(1).take(take), some.column(0).take(take), some.column(2).take(take)], ["one", "two", "doc_id", "k", "pos"])
 
     def subtrees(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes in order of (prefix, part, path, doc_id) to (k, pos) of those below a deep node and not of its first document."""
-        path, part, first = None, None, None
+        """Records in order of (level, prefix, part) to (k, start): the suffixes below deep nodes, but for those of a node's first document."""
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            paths, docs, parts = (batch.column(k).to_numpy() for k in (4, 1, 5))
-            new = np.ones(len(paths), bool)
-            new[1:] = (paths[1:] != paths[:-1]) | (parts[1:] != parts[:-1])
-            new[0] = path is None or paths[0] != path or parts[0] != part
-            run = np.cumsum(new)
-            leads = np.concatenate([[first if first is not None else docs[0]], docs[new]])
-            repeat = docs > leads[run]
-            path, part, first = paths[-1], parts[-1], leads[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(repeat)), batch.column(2).filter(pa.array(repeat))], ["k", "pos"])
+            key = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in (5, 6, 7)])
+            cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            for a, b in zip(cut, np.append(cut[1:], batch.num_rows), strict=True):
+                name = tuple(key[:, a])
+                if name != last and held:
+                    yield self.repeats_of(held)
+                    held = []
+                last = name
+                held.append(batch.slice(int(a), int(b - a)))
+        if held:
+            yield self.repeats_of(held)
+
+    def repeats_of(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One subtree."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n, docs = rows.column("n").to_numpy(), rows.column("doc_id").to_numpy()
+        suffixes, record, offset = self.spread(n, rows.column("words").to_pylist())
+        order, common = sorted_suffixes(suffixes, WORD_BYTES)
+        first, last = deep_nodes(common, self.window)
+        node = np.repeat(np.arange(len(first)), last - first)
+        leaves = order[np.repeat(first, last - first) + np.arange(len(node)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)]
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, node, docs[record[leaves]])
+        found = leaves[docs[record[leaves]] > least[node]]
+        start = rows.column("pos").to_numpy()[record[found]] + offset[found]
+        k = rows.column("k").combine_chunks() if isinstance(rows.column("k"), pa.ChunkedArray) else rows.column("k")
+        return pa.RecordBatch.from_arrays([pa.array(k.take(pa.array(record[found])).to_pylist(), pa.binary()), pa.array(start.astype(np.int32))], ["k", "start"])
 
     def remains(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(k, text, starts of repeats) to (k, n_removed, sha, spans); spans are maximal repeats, in words, half-open."""
@@ -142,19 +217,20 @@ def _listed(docs: DataFrame, keys: DataFrame) -> DataFrame:
             here = shared.value[batch.column(3).to_numpy()].astype(bool)
             yield batch.select([0, 1, 2]).filter(pa.array(here))
 
-    return docs.select("doc_id", "k", "text", place.alias("place")).mapInArrow(run, "doc_id long, k long, text string")
+    return docs.select("doc_id", "k", "text", place.alias("place")).mapInArrow(run, "doc_id long, k binary, text string")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, sample: int = SAMPLE, hot: int = HOT, tag: str = "substring") -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, sample: int = SAMPLE, prefixes: tuple[int, ...] = PREFIXES, most: int = MOST, tag: str = "substring") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) for every row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id. spans: the maximal
     repeats that go, in words. Null texts have no words. Rows without a doc_id are returned whole and make nothing else go.
-    Rows are told apart by a hash of id and text, so repeated rows get the same result and don't repeat each other.
+    Rows are told apart by 128 bits of id and text, so repeated rows get the same result and don't repeat each other, nor do
+    different texts of one doc_id. An empty table gives none. ``prefixes``: the last must be ``sample``.
     """
-    step = Windows(window, sample, prefix)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
-    survey = keyed.select("doc_id", "k", "text").mapInArrow(step.survey, "doc_id long, k long, n_words long, one long, two long, sha string, samples array<long>")
+    step = Windows(window, sample, prefixes)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", row_key("doc_id"))
+    survey = keyed.select("doc_id", "k", "text").mapInArrow(step.survey, "doc_id long, k binary, n_words long, one long, two long, sha string, anchors array<long>")
     survey = materialize(survey, f"{tag}-survey")
     long = survey.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     firsts = long.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -162,25 +238,39 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, sample:
     firsts = materialize(firsts.where("first < last").drop("last"), f"{tag}-firsts")
     copies = long.select("k", "doc_id", "one", "two").join(firsts, ["one", "two"]).where("doc_id > first").select("k").distinct()
     copies = materialize(copies, f"{tag}-copies")
-    own = long.join(copies, "k", "left_anti").select("k", "doc_id", F.explode("samples").alias("sample"))
-    shared = own.groupBy("sample").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = materialize(shared.select("sample", (F.col("n") > hot).alias("hot")), f"{tag}-shared")
-    listed = own.select("k", "sample").join(shared, "sample")
-    lists = listed.groupBy("k").agg(F.collect_set(F.when(~F.col("hot"), F.col("sample"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("sample"))).alias("hot"))
-    lists = materialize(lists, f"{tag}-lists")
+    own = long.join(copies, "k", "left_anti").select("k", "doc_id", F.explode("anchors").alias("anchor"))
+    shared = own.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = materialize(shared, f"{tag}-shared")
+    lists = materialize(own.select("k", "anchor").join(shared, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("wanted")), f"{tag}-lists")
     texts = _listed(keyed, lists.select("k")).join(lists, "k").dropDuplicates(["k"])
-    suffixes = materialize(texts.select("doc_id", "k", "text", "cold", "hot").mapInArrow(step.suffixes, "k long, doc_id long, pos int, prefix long, path long, hot boolean"), f"{tag}-suffixes")
-    # the suffixes of hot passages are dealt out by document too; each part is led by the first document of the path
-    many = suffixes.where("hot").groupBy("prefix", "path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    many = materialize(many, f"{tag}-many")
-    parts = -(-(many.agg(F.max("n").alias("n")).first()["n"] or 1) // PART)
-    part = F.when(F.col("hot"), F.pmod(F.hash("doc_id"), F.lit(parts))).otherwise(0).alias("part")
-    leads = many.select(F.lit(0).cast("long").alias("k"), F.col("low").alias("doc_id"), F.lit(-1).alias("pos"), "prefix", "path", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    dealt = suffixes.select("k", "doc_id", "pos", "prefix", "path", part).unionByName(leads).repartition("prefix", "part")
-    found = dealt.sortWithinPartitions("prefix", "part", "path", "doc_id").mapInArrow(step.subtrees, "k long, pos int")
-    starts = materialize(found.groupBy("k").agg(F.collect_list("pos").alias("starts")), f"{tag}-starts")
-    changed = _listed(keyed, starts.select("k")).select("k", "text").join(starts, "k").dropDuplicates(["k"]).mapInArrow(step.remains, "k long, n_removed long, new_sha string, spans array<array<int>>")
+    names = [f"p{j}" for j in range(len(prefixes))]
+    records = texts.select("doc_id", "k", "text", "wanted").mapInArrow(step.records, "k binary, doc_id long, pos int, n int, words binary, " + ", ".join(f"{p} long" for p in names))
+    records = materialize(records, f"{tag}-records")
+    level, dealt, made = F.lit(len(prefixes)), records, []
+    for j, p in reversed(list(enumerate(names))):
+        crowded = materialize(records.groupBy(p).agg(F.sum("n").alias(f"n{j}")).where(F.col(f"n{j}") > most), f"{tag}-crowded{j}")
+        made.append(crowded)
+        dealt = dealt.join(crowded, p, "left")
+        level = F.when(F.col(f"n{j}").isNull(), F.lit(j)).otherwise(level)
+    prefix = F.coalesce(*[F.when(level == j, F.col(p)) for j, p in enumerate(names)], F.col(names[-1]))
+    dealt = dealt.select("k", "doc_id", "pos", "n", "words", level.alias("level"), prefix.alias("prefix"), F.ceil(F.col(f"n{len(names) - 1}") / most).cast("int").alias("parts"))
+    hot = dealt.where(F.col("level") == len(prefixes))
+    plain = dealt.where(F.col("level") < len(prefixes)).select("k", "doc_id", "pos", "n", "words", "level", "prefix", F.lit(0).alias("part"))
+    if not made[0].isEmpty():
+        hot = materialize(hot, f"{tag}-hot")
+        many = hot.select("k", "doc_id", "pos", "n", "words").mapInArrow(step.named, "one long, two long, doc_id long, k binary, pos int")
+        leads = many.groupBy("one", "two").agg(F.min(F.struct("doc_id", "k", "pos")).alias("low"), F.max("doc_id").alias("high")).where("low.doc_id < high").select("low.k", "low.pos").distinct()
+        leads = materialize(leads, f"{tag}-leads")
+        parts = hot.select("k", "doc_id", "pos", "n", "words", "level", "prefix", F.pmod(F.hash("k"), "parts").alias("part"))
+        everywhere = hot.join(leads, ["k", "pos"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("part") != F.pmod(F.hash("k"), "parts"))
+        plain = plain.unionByName(parts).unionByName(everywhere.select(parts.columns))
+        made += [hot, leads]
+    ordered = plain.repartition("level", "prefix", "part").sortWithinPartitions("level", "prefix", "part").select("k", "doc_id", "pos", "n", "words", "level", "prefix", "part")
+    found = ordered.mapInArrow(step.subtrees, "k binary, start int")
+    starts = materialize(found.groupBy("k").agg(F.collect_set("start").alias("starts")), f"{tag}-starts")
+    changed = _listed(keyed, starts.select("k")).select("k", "text").join(starts, "k").dropDuplicates(["k"]).mapInArrow(step.remains, "k binary, n_removed long, new_sha string, spans array<array<int>>")
     meta = survey.select("doc_id", "k", "n_words", "sha").join(copies.withColumn("copy", F.lit(True)), "k", "left").join(changed, "k", "left")
+    discard(firsts, shared, lists, records, *made)
     copy, none = F.coalesce("copy", F.lit(False)), F.array().cast("array<array<int>>")
     return meta.select(
         "doc_id",
@@ -192,6 +282,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, sample:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every row; null texts have no words, and repeated rows get the same result."""
     return repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), tag="op4").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
