@@ -5,19 +5,18 @@ strings and endpoints. A weak part is reported only when complementary parts sta
 and an endpoint within SCOPE characters of the secret. Parts are intervals, and what counts is the gap between them; the join
 runs on buckets of SCOPE characters, a part standing in each from its start to its end. In a bucket each kind is first reduced
 to its outermost ends, so it is an equi-join whose size is that of the parts even in a document that holds a hundred thousand
-of them.
+of them. Places are running sums over a text's matches, so a text of many matches takes time in proportion to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, table
 
 #: Kinds in the order in which spans that start together are listed: pattern, group to measure, least length.
 BASE = {
@@ -41,49 +40,35 @@ def has_one(text: Column, needles: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(x)) for x in needles], F.lit(not needles))
 
 
-def spans(text: Column, pattern: str, gate: Column) -> Column:
-    """All matches, left to right without overlap, as (start, end) in code points with the matched string.
+def pieces(text: Column, pattern: str, group: int, least: int, gate: Column) -> Column:
+    """All matches, left to right without overlap: (gap, size, long) in code points, gap being what lies between a match and the one before.
 
-    gate: a cheap condition that every text with a match meets. The pieces between the matches, and the matches, follow each other, so their running lengths are the places.
+    long: whether ``group`` of the match has ``least`` characters or more. gate: a cheap condition that every text with a match meets.
     """
+    empty = F.array().cast("array<struct<gap:int,size:int,long:boolean>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,what:string>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    long = lambda w: (F.length(F.regexp_extract(w, pattern, group)) if group else F.length(w)) >= least
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("size"), long(w).alias("long")))
+    return F.when(gate & text.rlike(pattern), pairs).otherwise(empty)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["what"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["what"].alias("what")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("what")))
-    return F.when(gate & text.rlike(pattern), F.aggregate(pairs, first, step, lambda s: s["out"])).otherwise(empty)
+def parts(docs: DataFrame, tag: str = "secrets") -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): ``docs`` (doc_id, text) as (doc_id, k), and all matches that are long enough as (k, start, rank, end).
 
-
-def long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
-    return lambda m: F.length(F.regexp_extract(m["what"], pattern, group)) >= least
-
-
-def bare(found: Column) -> Column:
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
-
-
-def ranked(kind: str) -> Column:
-    return F.transform(F.col(kind), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end")))
-
-
-def parts(docs: DataFrame) -> DataFrame:
-    """Adds an array of (start, end, rank) for each kind; rank is the kind's place in KINDS."""
+    rank is the kind's place in KINDS. Repeated rows share their spans.
+    """
     text = F.coalesce("text", F.lit(""))
-    out = docs
-    for kind, (pattern, group, least) in BASE.items():
-        raw = spans(text, pattern, has_one(text, NEEDS[kind]))
-        out = out.withColumn(kind, bare(F.filter(raw, long_enough(pattern, group, least))))
     # weak parts count together only: without an identifier and an endpoint there is nothing to link
     whole = has_one(text, (":", "=")) & text.rlike(WEAK["endpoint"]) & (text.rlike(WEAK["identifier"]) | has_one(text, ("AKIA",)))
-    for kind, pattern in WEAK.items():
-        out = out.withColumn(kind, bare(spans(text, pattern, whole)))
-    return out
+    kinds = [pieces(text, pattern, group, least, has_one(text, NEEDS[kind])) for kind, (pattern, group, least) in BASE.items()]
+    kinds += [pieces(text, pattern, 0, 0, whole) for pattern in WEAK.values()]
+    rows = docs.select("doc_id", row_key("doc_id").alias("k"), F.array(*kinds).alias("kinds"))
+    rows = materialize(rows.select("doc_id", "k", F.when(F.exists("kinds", lambda x: F.size(x) > 0), F.col("kinds")).alias("kinds")), f"{tag}-rows")
+    each = rows.where("kinds is not null").dropDuplicates(["k"]).select("k", F.posexplode("kinds").alias("rank", "found")).select("k", "rank", F.posexplode("found").alias("nth", "m"))
+    # gaps and matches follow each other, so their running sizes are the places
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("k", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    spans = each.withColumn("end", end).where("m.long").select("k", (F.col("end") - F.col("m.size")).alias("start"), "rank", "end")
+    return rows.select("doc_id", "k"), spans
 
 
 def scan(docs: DataFrame, tag: str = "secrets", scope: int = SCOPE) -> DataFrame:
@@ -91,15 +76,13 @@ def scan(docs: DataFrame, tag: str = "secrets", scope: int = SCOPE) -> DataFrame
 
     base: spans of the BASE kinds. linked: weak parts that complete each other within ``scope`` characters and overlap no
     base span. A base assign or hex span counts as a secret and an access span as an identifier. Null text is empty. Rows
-    are told apart by a hash of id and text, so repeated rows all get their own results.
+    are told apart by 128 bits of id and text, so repeated rows all get their own results. An empty table gives none.
     """
-    kinds = lambda names: F.flatten(F.array(*map(ranked, names)))
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("k"))
-    rows = parts(keyed).select("doc_id", "k", F.array_sort(kinds(BASE)).alias("base"), kinds(WEAK).alias("weak"))
-    rows = materialize(rows, f"{tag}-rows")
-    each = rows.where("size(weak) > 0").dropDuplicates(["k"]).select("k", F.explode(F.concat("base", "weak")).alias("p")).select("k", "p.*")
+    rows, spans = parts(docs, tag)
+    spans = materialize(spans, f"{tag}-spans")
+    base, weak = F.col("rank") < len(BASE), F.col("rank") >= len(BASE)
     role = F.when(F.col("rank").isin(KINDS.index("access"), KINDS.index("identifier")), "identifier").when(F.col("rank") == KINDS.index("endpoint"), "endpoint").otherwise("secret")
-    each = each.select("k", "start", "rank", "end", role.alias("role"))
+    each = spans.join(spans.where(weak).select("k").distinct(), "k", "left_semi").select("k", "start", "rank", "end", role.alias("role"))
     # a part stands in every bucket from its start to its end
     placed = each.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
 
@@ -114,11 +97,18 @@ def scan(docs: DataFrame, tag: str = "secrets", scope: int = SCOPE) -> DataFrame
     centres = met.groupBy("k", "start", "rank", "end").agg(F.countDistinct("other").alias("n")).where("n = 2").drop("n")
     # every part within the scope of a complete secret is reported: weak ones only
     reach = around(placed.join(centres, ["k", "start", "rank", "end"], "left_semi"))
-    weak = placed.where(F.col("rank") >= len(BASE)).join(reach, ["k", "bucket"]).where(close)
-    linked = weak.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end"))).alias("linked"))
-    joined = rows.join(linked, "k", "left")
-    free = F.filter("linked", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return joined.select("doc_id", "base", F.coalesce(free, F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("linked"))
+    linked = materialize(placed.where(weak).join(reach, ["k", "bucket"]).where(close).select("k", "start", "rank", "end").distinct(), f"{tag}-linked")
+    # of the base spans of a text, the furthest end so far and the nearest start ahead tell whether one overlaps
+    both = spans.where(base).unionByName(linked)
+    before = Window.partitionBy("k").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("k").orderBy(F.col("start").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("far", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(after))
+    # spans that start together: a base one is among those ahead of a weak one or behind it, so both sides are asked
+    free = base | ((F.coalesce("far", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
+    lists = held.where(free).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("all"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    pick = lambda weak_ones: F.coalesce(F.filter("all", lambda m: (m["rank"] >= len(BASE)) == F.lit(weak_ones)), none)
+    return rows.join(lists, "k", "left").select("doc_id", pick(False).alias("base"), pick(True).alias("linked"))
 
 
 def listed(found: Column) -> Column:
@@ -128,6 +118,7 @@ def listed(found: Column) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's spans; a null text has none, and repeated rows each get theirs."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), tag="op8")
     count = lambda kind: F.size(F.filter("base", lambda m: m["rank"] == KINDS.index(kind))).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "linked")).alias("spans"))
