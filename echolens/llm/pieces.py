@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table, with_columns_after
 
 #: The tokenizer's file; only ever read.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -286,6 +286,11 @@ class Pieces:
             self.words[part] = got
         return got
 
+    def forget(self) -> None:
+        """Drop what was remembered, so that an idle worker holds the tokenizer alone."""
+        self.words, self.older = {}, {}
+        self.pairs.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes join to characters, and the prefix space goes."""
         text = b"".join(map(self.surfaces.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -309,26 +314,55 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
-    """Adds n_tokens, ids and decoded (the text that the ids give back) to ``docs``; a null text is empty."""
+#: Characters of text, about, and rows that one step encodes.
+STEP_CHARS, STEP_ROWS = 1 << 21, 256
+
+
+def tokenized(docs: DataFrame, model: bytes, n_tokens: str = "n_tokens", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds ``n_tokens``, ``ids`` and ``decoded`` (the text that the ids give back) to ``docs``, in place of columns of these names.
+
+    A null or empty text has no ids and decodes to an empty one. Equal texts have equal ids; repeated rows each get theirs, and all
+    other columns, whatever their names, are handed on as they are. An empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index("text")
+    at, keep = docs.columns.index("text"), with_columns_after(docs.columns, [n_tokens, ids, decoded])
+    names = [docs.columns[k] for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = known(shared.value)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = [tokenizer.encode(t or "") for t in part.column(at).to_pylist()]
-                cut = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(cut)), lists, pa.array([tokenizer.decode(x) for x in ids], pa.string())], [*names, "n_tokens", "ids", "decoded"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, n_tokens long, ids array<int>, decoded string")
+        try:
+            for batch in batches:
+                texts, low = batch.column(at), 0
+                while low < batch.num_rows:
+                    got, size, high = [], 0, low
+                    while high < batch.num_rows and high - low < STEP_ROWS and size < STEP_CHARS:
+                        text = texts[high].as_py() or ""
+                        got.append(tokenizer.encode(text))
+                        size, high = size + len(text), high + 1
+                    cut = np.cumsum([0, *map(len, got)])
+                    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(got)))
+                    part = batch.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(np.diff(cut)), lists, pa.array([tokenizer.decode(x) for x in got], pa.string())], [*names, n_tokens, ids, decoded])
+                    low = high
+        finally:
+            tokenizer.forget()
+
+    schema = "".join(f"`{docs.schema[k].name}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    return docs.mapInArrow(run, f"{schema}`{n_tokens}` long, `{ids}` array<int>, `{decoded}` string")
+
+
+def decoded_texts(docs: DataFrame, model: bytes) -> DataFrame:
+    """``docs`` with each text as its ids decode to it, and with ``n_tokens`` and ``ids`` (in place of columns of these names)."""
+    decoded = free_name([*docs.columns, "n_tokens", "ids"], "decoded")
+    out = tokenized(docs, model, decoded=decoded)
+    kept = [docs.columns[k] for k in with_columns_after(docs.columns, ["n_tokens", "ids"])]
+    return out.select(*[F.col(decoded).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], "n_tokens", "ids")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, with whether they decode to the very text (a text with U+2581 doesn't: it decodes to a space)."""
+    """Ids of every document, with whether they decode to the very text (a text with U+2581 doesn't: it decodes to a space).
+
+    A null text is an empty one; repeated rows each get theirs.
+    """
     out = tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model())
     return out.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
