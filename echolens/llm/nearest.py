@@ -122,14 +122,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tag: str = "neares
     with the largest inner product, its own id left out, ties to the smaller id; all of them where there are fewer.
 
     Rows with a null id, and vectors that are null, zero, of another length than most, or that hold null or non-finite
-    components take no part. Repeated (id, vector) rows count once.
+    components take no part. Repeated (id, vector) rows count once. Different vectors of one id are entries and queries of
+    their own: each has a list under that id, without the id's other vectors. Components may be float or double.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("asked")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     length = good.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = length["d"]
+    dim, kind = length["d"], good.schema["embedding"].dataType.elementType.simpleString()
     good = good.where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
     entries = good.withColumn("copy", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
     entries = materialize(entries.select("vec_id", "embedding"), f"{tag}-entries")
@@ -145,7 +146,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tag: str = "neares
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.cells(matrix(batch.column(1), dim)).astype(np.int32))], ["vec_id", "embedding", "cell"])
 
-    entries = materialize(entries.mapInArrow(placed, "vec_id long, embedding array<float>, cell int"), f"{tag}-placed")
+    entries = materialize(entries.mapInArrow(placed, f"vec_id long, embedding array<{kind}>, cell int"), f"{tag}-placed")
     count = np.zeros(len(index.one) * len(index.two), np.int64)
     for row in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST_CENTROIDS squared
         count[row["cell"]] = row["n"]
@@ -175,10 +176,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tag: str = "neares
                 take = pa.array(np.full(len(names), row))
                 yield pa.RecordBatch.from_arrays([pa.array(names), batch.column(1).take(take), batch.column(0).take(take), lists], ["block", "head", "embedding", "cells"])
 
-    queries = materialize(heads.select("embedding", "head").mapInArrow(routed, "block long, head long, embedding array<float>, cells array<int>"), f"{tag}-routed")
+    # routing is a heap walk for each query: spread evenly, however few files the queries are in
+    spread = heads.select("embedding", "head").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    queries = materialize(spread.mapInArrow(routed, f"block long, head long, embedding array<{kind}>, cells array<int>"), f"{tag}-routed")
     # a block that many queries reach is searched by several tasks, each with a part of them
     busy = queries.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-    there = entries.mapInArrow(blocked, "block long, vec_id long, embedding array<float>, cell int").join(busy, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    there = entries.mapInArrow(blocked, f"block long, vec_id long, embedding array<{kind}>, cell int").join(busy, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
     came = queries.join(busy, "block").withColumn("turn", F.pmod(F.hash("head"), "turns")).drop("turns")
 
     def rerank(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
@@ -208,4 +211,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tag: str = "neares
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every row whose vec_id is divisible by 20, among all rows (see ``search`` for rows that take no part)."""
     return search(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), tag="op10")

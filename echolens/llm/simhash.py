@@ -295,7 +295,7 @@ def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag:
             cut = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = materialize(texts.mapInArrow(run, "node long, grams array<long>"), f"{tag}-sets")
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -309,7 +309,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``,
     links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity. component_id is the smallest
     doc_id reachable over links. Null, empty and blank texts share fingerprint zero and are linked like any other.
-    Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node.
+    Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node; where a similarity is asked for,
+    the first of their texts in order stands for them. An empty table gives none.
     """
     trie = Trie(words, bits, budget, budget if total is None else total)
     prints = materialize(fingerprints(docs, shingle, words, distinct), f"{tag}-fps")
@@ -349,5 +350,6 @@ def one_of_each_group(docs: DataFrame, tag: str = "simhash-stage") -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's fingerprint and component; null and blank texts have fingerprint zero, and repeated rows each get theirs."""
     found = near_duplicates(table(spark, sf_dir, "documents"), tag="op1")
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
