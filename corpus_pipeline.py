@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from echolens.llm.common import materialize, table
+from echolens.llm.common import discard, materialize, scratch, table
 from echolens.llm.decontamination import without_leaks
 from echolens.llm.line_dedup import without_lines
-from echolens.llm.pieces import read_model, tokenized
+from echolens.llm.pieces import decoded_texts, read_model
 from echolens.llm.simhash import one_of_each_group
 from echolens.llm.toxicity import without_toxic
 
@@ -21,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go; so does a document that had nothing else."""
+    """Lines of templates that recur across documents go; copies of documents are left to the next stage."""
     return without_lines(docs)
 
 
@@ -37,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids; text is what they decode to."""
-    out = tokenized(docs, read_model())
-    return out.select(*[F.col("decoded").alias("text") if c == "text" else c for c in docs.columns], "n_tokens", "ids")
+    return decoded_texts(docs, read_model())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,8 +52,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; returns what the last one returns."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    """All stages over ``documents``; returns what the last one returns. What a stage wrote goes once the next has read it."""
+    docs = written = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        with scratch():
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        if k:
+            discard(written)
+        written = docs
     return docs
