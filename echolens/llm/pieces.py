@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, with_columns_after
+from .common import free_name, handed_back, table, with_columns_after
 
 #: The tokenizer's file; only ever read.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -331,7 +331,7 @@ def tokenized(docs: DataFrame, model: bytes, n_tokens: str = "n_tokens", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = known(shared.value)
         try:
-            for batch in batches:
+            for batch in handed_back(batches):
                 texts, low = batch.column(at), 0
                 while low < batch.num_rows:
                     got, size, high = [], 0, low

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, table
+from .common import components, handed_back, materialize, mix64, table
 
 SEED = 42
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
     """(doc_id, fp): fp is binary, ``words`` big-endian 64-bit words. Null and blank texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handed_back(batches):
             fps = [majority_bits(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle, distinct), words).astype(">u8").tobytes() for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
 # ---- units: node pairs of the tries --------------------------------------------------------------------------------
 
 UNIT = ["trie", "depth", "a", "b", "used"]
-ROWS = "trie int, depth int, a long, b long, used int, side int, node long, fp binary"
+ROWS = "trie int, depth int, a long, b long, used int, side int, node long, leaf long, root long, fp binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -112,33 +112,44 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 class Trie:
     """How fingerprints of ``words`` 64-bit words are cut into parts, and which links count.
 
-    ``rooted``: a further word names each node's cluster; all links between different clusters are listed, not a forest.
+    rounds: how often they are cut, the bits being dealt anew into parts each time. rooted: a further word names each node's
+    cluster; all links between different clusters are listed, not a forest.
     """
 
-    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False) -> None:
+    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False, rounds: int = 1) -> None:
         self.words, self.bits, self.budget, self.total, self.step = words, bits, budget, total, step
-        self.rooted = rooted
+        self.rooted, self.whole = rooted, words * 64 == bits
         self.blocks = _blocks(bits, budget)
-
-    def leaf(self, fps: np.ndarray, trie: np.ndarray) -> np.ndarray:
-        """The part of each fingerprint that its trie stores, turned."""
-        parts, out = _parts(fps, self.bits), np.zeros(len(fps), np.uint64)
-        for t in np.unique(trie):
-            here = trie == t
-            out[here] = _rotate(parts[here, t // len(self.blocks)], self.blocks[t % len(self.blocks)][0], self.bits)
-        return out
+        self.deals = [None, *(np.random.default_rng(r).permutation(words * 64) for r in range(1, rounds))]
+
+    def parts(self, fps: np.ndarray) -> np.ndarray:
+        """(n, words) fingerprints cut into (n, parts) left-aligned 64-bit words, all rounds' side by side."""
+        out = []
+        for deal in self.deals:
+            if deal is not None:
+                dealt = np.unpackbits(np.ascontiguousarray(fps.astype(">u8")).view(np.uint8).reshape(len(fps), -1), axis=1)[:, deal]
+                some = np.ascontiguousarray(np.packbits(dealt, axis=1)).view(">u8").astype(np.uint64)
+            else:
+                some = fps
+            out.append(_parts(some, self.bits))
+        return np.concatenate(out, axis=1)
 
     def roots(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each distinct fingerprint and trie: the self pair of the subtree root that it hangs under."""
-        for batch in batches:
-            nodes, raw = batch.column(0), batch.column(1)
-            parts = _parts(_words(raw, self.words + self.rooted)[:, : self.words], self.bits) if len(nodes) else np.zeros((0, 1), np.uint64)
+        for batch in handed_back(batches):
+            nodes, n = batch.column(0).cast(pa.int64()), batch.num_rows
+            if not n:
+                continue
+            fps = _words(batch.column(1), self.words + self.rooted)
+            root = pa.array(_signed(fps[:, -1])) if self.rooted else nodes
+            held = pa.nulls(n, pa.binary()) if self.whole else pa.array([x[: 8 * self.words] for x in batch.column(1).to_pylist()], pa.binary())
+            parts = self.parts(fps[:, : self.words])
             for p in range(parts.shape[1]):
                 for k, (first, length) in enumerate(self.blocks):
-                    prefix = _signed(_rotate(parts[:, p], first, self.bits) >> np.uint64(64 - length))
-                    n = len(nodes)
-                    ints = lambda v, kind=pa.int32(): pa.array(np.full(n, v), kind)  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([ints(p * len(self.blocks) + k), ints(length), pa.array(prefix), pa.array(prefix), ints(0), ints(2), nodes.cast(pa.int64()), raw.cast(pa.binary())], NAMES)
+                    leaf = _rotate(parts[:, p], first, self.bits)
+                    prefix = pa.array(_signed(leaf >> np.uint64(64 - length)))
+                    ints = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([ints(p * len(self.blocks) + k), ints(length), prefix, prefix, ints(0), ints(2), nodes, pa.array(_signed(leaf)), root, held], NAMES)
 
     def split(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of units that hold too much, handed to the child pairs within the budget, ``step`` levels down."""
@@ -146,8 +157,7 @@ class Trie:
             trie, depth, a, b, used, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             if not len(trie):
                 continue
-            fps, nodes = batch.column(7), batch.column(6)
-            leaf = self.leaf(_words(fps, self.words + self.rooted)[:, : self.words], trie)
+            leaf = batch.column(7).to_numpy().view(np.uint64)
             step = np.minimum(self.step, self.bits - depth)
             down = depth + step
             own = _signed(leaf >> (64 - down).astype(np.uint64))
@@ -165,18 +175,18 @@ class Trie:
                 sides = np.where(ca == cb, 2, np.where(ca == mine, 0, 1))
                 sides = np.where(itself, sides, side[go])
                 take = pa.array(go)
-                yield pa.RecordBatch.from_arrays([pa.array(trie[go], pa.int32()), pa.array(down[go], pa.int32()), pa.array(ca), pa.array(cb), pa.array(cost[go], pa.int32()), pa.array(sides, pa.int32()), nodes.take(take), fps.take(take)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(trie[go], pa.int32()), pa.array(down[go], pa.int32()), pa.array(ca), pa.array(cb), pa.array(cost[go], pa.int32()), pa.array(sides, pa.int32()), *(batch.column(k).take(take) for k in (6, 7, 8, 9))], NAMES)
 
     def join(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units, each with its leaves, to (a, b, far): a spanning forest of each unit's links, nearest first."""
-        for batch in batches:
+        for batch in handed_back(batches):
             unit = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             leaves = batch.column(5)
             sizes = np.diff(leaves.offsets.to_numpy())
             row = 0
             while row < len(sizes):  # whole units, of a bounded number of possible pairs together
                 reach = np.cumsum(sizes[row:].astype(np.int64) ** 2)
-                stop = row + max(1, int(np.searchsorted(reach, 4_000_000, "right")))
+                stop = row + max(1, int(np.searchsorted(reach, 1_000_000, "right")))
                 some = leaves.slice(row, stop - row).flatten()
                 of = np.repeat(np.arange(stop - row), sizes[row:stop])
                 yield self._links(some, of, [x[row:stop] for x in unit])
@@ -184,13 +194,11 @@ class Trie:
 
     def _links(self, leaves: pa.StructArray, of: np.ndarray, unit: list[np.ndarray]) -> pa.RecordBatch:
         trie, depth, _, _, used = unit
-        side = leaves.field("side").to_numpy(zero_copy_only=False)
-        node = leaves.field("node").to_numpy(zero_copy_only=False)
-        fps = _words(leaves.field("fp"), self.words + self.rooted)
-        root, fps = fps[:, -1], fps[:, : self.words]
-        leaf = self.leaf(fps, trie[of])
+        side, node, leaf, root = (leaves.field(k).to_numpy(zero_copy_only=False) for k in ("side", "node", "leaf", "root"))
+        leaf = leaf.view(np.uint64)
         order = np.lexsort((leaf, side, of))
-        side, node, fps, leaf, of, root = side[order], node[order], fps[order], leaf[order], of[order], root[order]
+        side, node, leaf, of, root = side[order], node[order], leaf[order], of[order], root[order]
+        fps = leaf[:, None] if self.whole else _words(leaves.field("fp"), self.words)[order]
         # a node is a run of sorted leaves; the frontier holds pairs of nodes and what they differ in so far
         first = np.searchsorted(of, np.arange(len(trie)))
         last = np.searchsorted(of, np.arange(len(trie)), "right")
@@ -209,7 +217,7 @@ class Trie:
                 of_pair = np.repeat(np.arange(len(times)), times)
                 place = np.arange(len(of_pair)) - np.repeat(np.cumsum(times) - times, times)
                 p, q = a0[done][of_pair] + place // wide[of_pair], b0[done][of_pair] + place % wide[of_pair]
-                near = _popcount(leaf[p] ^ leaf[q]) <= self.budget
+                near = (_popcount(leaf[p] ^ leaf[q]) <= self.budget) & (root[p] != root[q])
                 found.append(np.stack([p[near], q[near]]))
             a0, a1, b0, b1, diff, level, unit_of = (x[~done] for x in (a0, a1, b0, b1, diff, level, unit_of))
             if not len(a0):
@@ -222,12 +230,11 @@ class Trie:
             kids = [pick(a0, am, b0, bm, 0), pick(am, a1, bm, b1, 0), pick(a0, am, bm, b1, 1), pick(am, a1, b0, bm, 1, ~same)]
             a0, a1, b0, b1, diff, level, unit_of = (np.concatenate(x) for x in zip(*kids, strict=True))
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        far = _popcount(fps[p] ^ fps[q]).sum(axis=1) if len(p) else np.zeros(0, np.int64)
+        far = _popcount(fps[p] ^ fps[q]).sum(axis=1)
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
         if self.rooted:
-            apart = root[p] != root[q]
-            return pa.RecordBatch.from_arrays([pa.array(node[p[apart]], pa.int64()), pa.array(node[q[apart]], pa.int64()), pa.array(far[apart].astype(np.int32))], ["a", "b", "far"])
+            return pa.RecordBatch.from_arrays([pa.array(node[p], pa.int64()), pa.array(node[q], pa.int64()), pa.array(far.astype(np.int32))], ["a", "b", "far"])
         label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
         for level in np.unique(far):
             at = np.flatnonzero(far == level)
@@ -262,7 +269,8 @@ class Trie:
 
 
 def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFrame:
-    """Spanning links (a, b, far) between the nodes of ``distinct`` (node, fp), all fingerprints being different.
+    """Links (a, b, far) between the nodes of ``distinct`` (node, fp), all fingerprints being different: those that span what a part
+    connects, or all between clusters, of at most ``trie.total`` differing bits (far) in the whole.
 
     ``most``: leaves that one unit may hold before it is split further; a memory bound, not a cap on links.
     """
@@ -274,7 +282,7 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
         sizes = materialize(sizes.select(*UNIT, "n"), f"{tag}-sizes{depth}")
         fits = (F.col("n") <= most) | (F.col("depth") >= trie.bits)
         small = rows.join(sizes.where(fits).drop("n"), UNIT)
-        units = small.groupBy(*UNIT).agg(F.collect_list(F.struct("side", "node", "fp")).alias("leaves"))
+        units = small.groupBy(*UNIT).agg(F.collect_list(F.struct("side", "node", "leaf", "root", "fp")).alias("leaves"))
         some = units.mapInArrow(trie.join, "a long, b long, far int")
         out = some if out is None else out.unionByName(some)
         large = sizes.where(~fits)
@@ -290,10 +298,12 @@ def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag:
     wanted = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle, True).view(np.int64) for t in batch.column(1).to_pylist()]
-            cut = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "grams"])
+        for batch in handed_back(batches):
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                sets = [shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"), shingle, True).view(np.int64) for t in some.column(1)]
+                cut = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets)))], ["node", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = materialize(texts.mapInArrow(run, "node long, grams array<long>"), f"{tag}-sets")
@@ -302,17 +312,17 @@ def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag:
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, total: int | None = None, distinct: bool = False, similarity: float | None = None, sure: int = 0, tag: str = "simhash") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, rounds: int = 1, total: int | None = None, distinct: bool = False, similarity: float | None = None, sure: int = 0, tag: str = "simhash") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
-    A fingerprint has ``words`` 64-bit words cut into parts of ``bits`` bits. Two documents are linked if some part
+    A fingerprint has ``words`` 64-bit words cut into parts of ``bits`` bits, ``rounds`` times. Two documents are linked if some part
     differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``,
     links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity. component_id is the smallest
     doc_id reachable over links. Null, empty and blank texts share fingerprint zero and are linked like any other.
     Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node; where a similarity is asked for,
     the first of their texts in order stands for them. An empty table gives none.
     """
-    trie = Trie(words, bits, budget, budget if total is None else total)
+    trie = Trie(words, bits, budget, budget if total is None else total, rounds=rounds)
     prints = materialize(fingerprints(docs, shingle, words, distinct), f"{tag}-fps")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), f"{tag}-nodes")
     edges = links(nodes, trie, tag)
@@ -323,7 +333,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
         # a forest link that failed may have stood for one that holds: all other links between clusters still apart are checked
         root = F.unhex(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"))
         rooted = materialize(nodes.join(components(held, f"{tag}-first"), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{tag}-rooted")
-        more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True), f"{tag}-more").join(edges.select("a", "b"), ["a", "b"], "left_anti")
+        more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True, rounds=rounds), f"{tag}-more").join(edges.select("a", "b"), ["a", "b"], "left_anti")
         edges = held.unionByName(similar(more, docs, shingle, similarity, f"{tag}-more"))
     roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
@@ -331,10 +341,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: 256 bits over distinct 5-word shingles in eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one size is a
-#: cosine of 0.889, an angle of 0.151 of a half turn: 38.7 of 256 bits are expected to differ, give or take 5.7. Links of up
-#: to 54 bits are looked at (2.7 deviations more); up to 12 bits (4.7 less) they are sure.
-NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 4, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
+#: 256 bits over distinct 5-word shingles, dealt twice into eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one
+#: size is a cosine of 0.889, an angle of 0.151 of a half turn: 38.7 of 256 bits are expected to differ, give or take 5.7. Links of
+#: up to 54 bits are looked at (2.7 deviations more); up to 12 bits (4.7 less) they are sure. One of sixteen parts differs in 3 bits
+#: or fewer with a probability of 0.99.
+NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "rounds": 2, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
 
 
 def one_of_each_group(docs: DataFrame, tag: str = "simhash-stage") -> DataFrame:

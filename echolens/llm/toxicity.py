@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE_LOWER, blocks, buffers, discard, free_name, held_out, materialize, mix64, powers, table, with_columns_after
+from .common import _BYTE_LOWER, blocks, buffers, discard, free_name, handed_back, held_out, materialize, mix64, powers, table, with_columns_after
 
 BUCKETS = 1 << 20
 FEATURES = 4096
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS), np.int32)
-        for batch in batches:
+        for batch in handed_back(batches):
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for first, _, row, bucket, _ in pairs(batch.column(0), None):
                 toxic = label[first + row]
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, machine: Machine, score: str = "score", predicted: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Machine(*shared.value)
-        for batch in batches:
+        for batch in handed_back(batches):
             value = known.score(batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], [*names, score, predicted])
 

@@ -145,13 +145,15 @@ def test_links_beyond_the_forest_are_checked(spark: SparkSession) -> None:
             copy[place] = f"x{rng.randrange(5000)}"
         texts[k] = " ".join(copy)
     sets = {k: simhash.shingle_hashes(t.encode(), 5, True) for k, t in texts.items()}
-    parts = {k: simhash.majority_bits(h, 4).view(np.uint32) for k, h in sets.items()}
+    prints = {k: simhash.majority_bits(h, 4) for k, h in sets.items()}
+    trie = simhash.Trie(4, 32, simhash.NEAR["budget"], simhash.NEAR["total"], rounds=simhash.NEAR["rounds"])
+    parts = {k: trie.parts(p[None])[0] for k, p in prints.items()}
     root = {k: k for k in texts}
     for a in texts:
         for b in range(a + 1, len(texts)):
-            far = np.bitwise_count(parts[a] ^ parts[b]).astype(int)
+            far, total = np.bitwise_count(parts[a] ^ parts[b]).astype(int), int(np.bitwise_count(prints[a] ^ prints[b]).sum())
             shared = len(np.intersect1d(sets[a], sets[b]))
-            if far.min() <= simhash.NEAR["budget"] and far.sum() <= simhash.NEAR["total"] and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+            if far.min() <= simhash.NEAR["budget"] and total <= simhash.NEAR["total"] and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
                 low, high = sorted((root[a], root[b]))
                 root = {k: low if v == high else v for k, v in root.items()}
     got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **simhash.NEAR).collect()
