@@ -274,7 +274,9 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
 
     ``most``: leaves that one unit may hold before it is split further; a memory bound, not a cap on links.
     """
-    rows = distinct.select("node", "fp").mapInArrow(trie.roots, ROWS)
+    # a fingerprint becomes a row for each trie: spread evenly, however few files the fingerprints are in
+    spread = distinct.select("node", "fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.mapInArrow(trie.roots, ROWS)
     out: DataFrame | None = None
     for depth in range(1, trie.bits // trie.step + 2):
         rows = materialize(rows, f"{tag}-units{depth}") if depth > 1 else rows
