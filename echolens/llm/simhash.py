@@ -9,8 +9,10 @@ so no unit grows with the corpus; nothing is capped or dropped.
 
 Only distinct fingerprints take part, exact copies having been merged by a pre-aggregated minimum. Inside a unit the
 links found are reduced to a minimum spanning forest by differing bits, which keeps every connection at every distance
-without listing all pairs. Where a similarity is asked for, forest links that the fingerprints leave open are then held
-against the shingle sets themselves; then all other candidate links between clusters that are still apart.
+without listing all pairs. Where a similarity is asked for, a link counts only if the shingle sets have it, unless the fingerprints
+leave no doubt. There, fingerprints with an equal part are first linked to the smallest of them, which joins large groups of
+copies; then the tries' node pairs are descended for all links between clusters that are still apart, and pairs of nodes that
+lie in one cluster are pruned as well.
 """
 
 from __future__ import annotations
@@ -208,8 +210,14 @@ class Trie:
         b0, b1 = np.where(both, first, middle), last.copy()
         diff, level, unit_of = used.astype(np.int64).copy(), depth.astype(np.int64).copy(), np.arange(len(trie))
         found = []
+        # a run of leaves lies in one cluster if the cluster doesn't change within it
+        turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if len(root) else np.zeros(1, np.int64)
+        inner = max(len(root) - 1, 0)
         while len(a0):
             alive = (a1 > a0) & (b1 > b0) & (diff <= self.budget) & ~((a0 == b0) & (a1 - a0 < 2))
+            af, al, bf, bl = (np.clip(x, 0, inner) for x in (a0, a1 - 1, b0, b1 - 1))
+            if len(root):
+                alive &= ~((turns[af] == turns[al]) & (turns[bf] == turns[bl]) & (root[af] == root[bf]))
             a0, a1, b0, b1, diff, level, unit_of = (x[alive] for x in (a0, a1, b0, b1, diff, level, unit_of))
             done = ((a1 - a0) * (b1 - b0) <= 32) | (level >= self.bits)
             if done.any():  # the leaves below a small pair of nodes, all with all
@@ -294,6 +302,28 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
     return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
 
 
+def stars(distinct: DataFrame, trie: Trie, tag: str) -> DataFrame:
+    """(a, b, far): fingerprints with an equal part, each linked to the smallest node among them; ``trie.total`` bits differ at most."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = _parts(_words(batch.column(1), trie.words), trie.bits)
+                for p in range(parts.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, p, np.int32)), pa.array(_signed(parts[:, p])), batch.column(0), batch.column(1)], ["part", "value", "node", "fp"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = _popcount(_words(batch.column(2), trie.words) ^ _words(batch.column(3), trie.words)).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], ["a", "b", "far"]).filter(pa.array(far <= trie.total))
+
+    rows = materialize(distinct.select("node", "fp").mapInArrow(cut, "part int, value long, node long, fp binary"), f"{tag}-parts")
+    least = rows.groupBy("part", "value").agg(F.min(F.struct("node", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = materialize(least.select("part", "value", "least.node", "least.fp").toDF("part", "value", "low", "low_fp"), f"{tag}-least")
+    both = rows.join(least, ["part", "value"]).where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), F.col("low_fp").alias("x"), F.col("fp").alias("y"))
+    return both.dropDuplicates(["a", "b"]).mapInArrow(measured, "a long, b long, far int")
+
+
 def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag: str) -> DataFrame:
     """Those of ``edges`` (a, b: doc_ids) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
     edges = materialize(edges.select("a", "b"), f"{tag}-open")
@@ -327,16 +357,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     trie = Trie(words, bits, budget, budget if total is None else total, rounds=rounds)
     prints = materialize(fingerprints(docs, shingle, words, distinct), f"{tag}-fps")
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), f"{tag}-nodes")
-    edges = links(nodes, trie, tag)
-    if similarity is not None:
-        edges = materialize(edges, f"{tag}-links")
-        held = edges.where(F.col("far") <= sure).select("a", "b").unionByName(similar(edges.where(F.col("far") > sure), docs, shingle, similarity, tag))
+    if similarity is None:
+        edges = links(nodes, trie, tag)
+    else:
+        first = materialize(stars(nodes, trie, tag), f"{tag}-stars")
+        held = first.where(F.col("far") <= sure).select("a", "b").unionByName(similar(first.where(F.col("far") > sure), docs, shingle, similarity, tag))
         held = materialize(held, f"{tag}-held")
-        # a forest link that failed may have stood for one that holds: all other links between clusters still apart are checked
         root = F.unhex(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"))
         rooted = materialize(nodes.join(components(held, f"{tag}-first"), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{tag}-rooted")
-        more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True, rounds=rounds), f"{tag}-more").join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        edges = held.unionByName(similar(more, docs, shingle, similarity, f"{tag}-more"))
+        more = materialize(links(rooted, Trie(words, bits, budget, trie.total, rooted=True, rounds=rounds), f"{tag}-more").join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{tag}-links")
+        found = more.where(F.col("far") <= sure).select("a", "b").unionByName(similar(more.where(F.col("far") > sure), docs, shingle, similarity, f"{tag}-more"))
+        edges = held.unionByName(found)
     roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")
