@@ -11,8 +11,9 @@ Only distinct fingerprints take part, exact copies having been merged by a pre-a
 links found are reduced to a minimum spanning forest by differing bits, which keeps every connection at every distance
 without listing all pairs. Where a similarity is asked for, a link counts only if the shingle sets have it, unless the fingerprints
 leave no doubt. There, fingerprints with an equal part are first linked to the smallest of them, which joins large groups of
-copies; then the tries' node pairs are descended for all links between clusters that are still apart, and pairs of nodes that
-lie in one cluster are pruned as well.
+copies; then the tries' node pairs are descended between clusters that are still apart, and pairs of nodes that lie in one cluster
+are pruned as well: first for each leaf's nearest link to a cluster that holds more of the unit, then, when these have been held
+against the sets and the clusters joined, for all links that are left.
 """
 
 from __future__ import annotations
@@ -115,10 +116,12 @@ class Trie:
     """How fingerprints of ``words`` 64-bit words are cut into parts, and which links count.
 
     rounds: how often they are cut, the bits being dealt anew into parts each time. rooted: a further word names each node's
-    cluster; all links between different clusters are listed, not a forest.
+    cluster; all links between different clusters are listed, not a forest. nearest: of these, for two clusters in a unit only
+    the nearest link of each leaf of the smaller one.
     """
 
-    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False, rounds: int = 1) -> None:
+    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False, nearest: bool = False, rounds: int = 1) -> None:
+        self.nearest = nearest
         self.words, self.bits, self.budget, self.total, self.step = words, bits, budget, total, step
         self.rooted, self.whole = rooted, words * 64 == bits
         self.blocks = _blocks(bits, budget)
@@ -241,6 +244,14 @@ class Trie:
         far = _popcount(fps[p] ^ fps[q]).sum(axis=1)
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
+        if self.rooted and self.nearest and len(p):
+            cluster = np.unique(np.stack([of, root]), axis=1, return_inverse=True)[1].ravel()
+            size = np.bincount(cluster)[cluster]
+            small = np.where((size[p] < size[q]) | ((size[p] == size[q]) & (root[p] > root[q])), p, q)
+            other = p + q - small
+            order = np.lexsort((node[other], far, cluster[other], small))
+            first = order[np.append(True, (np.diff(small[order]) != 0) | (np.diff(cluster[other][order]) != 0))]
+            p, q, far = p[first], q[first], far[first]
         if self.rooted:
             return pa.RecordBatch.from_arrays([pa.array(node[p], pa.int64()), pa.array(node[q], pa.int64()), pa.array(far.astype(np.int32))], ["a", "b", "far"])
         label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
@@ -364,10 +375,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
         held = first.where(F.col("far") <= sure).select("a", "b").unionByName(similar(first.where(F.col("far") > sure), docs, shingle, similarity, tag))
         held = materialize(held, f"{tag}-held")
         root = F.unhex(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"))
-        rooted = materialize(nodes.join(components(held, f"{tag}-first"), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{tag}-rooted")
-        more = materialize(links(rooted, Trie(words, bits, budget, trie.total, rooted=True, rounds=rounds), f"{tag}-more").join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{tag}-links")
-        found = more.where(F.col("far") <= sure).select("a", "b").unionByName(similar(more.where(F.col("far") > sure), docs, shingle, similarity, f"{tag}-more"))
-        edges = held.unionByName(found)
+        for nearest in (True, False):
+            part = f"{tag}-{'near' if nearest else 'rest'}"
+            rooted = materialize(nodes.join(components(held, part), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{part}-rooted")
+            more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True, nearest=nearest, rounds=rounds), part)
+            more = materialize(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{part}-links")
+            found = more.where(F.col("far") <= sure).select("a", "b").unionByName(similar(more.where(F.col("far") > sure), docs, shingle, similarity, part))
+            held = materialize(held.unionByName(found), f"{part}-held")
+            first = first.select("a", "b").unionByName(more.select("a", "b"))
+        edges = held
     roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")
