@@ -16,31 +16,42 @@ SIMHASH, MINHASH, SEED = "simhash_v1", "minhash_v1", "news_flash_dedup_v1"
 PERMUTATIONS, BANDS = 128, 32
 
 
-def hash64(text: Column) -> Column:
-    """The first eight bytes of SHA-256 as a signed long."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
-
-
-def features(text: Column) -> Column:
-    named = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(f"{SIMHASH}|{kind}|"), x))
-    return F.concat(named("char", T.shingles(text)), named("token", T.tokens(text)))
+#: Features whose hashes a worker keeps; beyond that it starts anew.
+REMEMBERED = 200_000
 
 
 def simhash(items: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
     """(key, simhash): a bit is 1 if more features have it than not. Blank texts have no row.
 
-    Each feature is hashed where it stands; three bit counters share a long, and the sums are combined before the shuffle.
+    One Arrow pass without a shuffle: each distinct feature of a worker is hashed once, votes are counted by text.
     """
-    ready = items.where(T.indexable(F.col(text))).select(key, F.explode(features(T.normalized(F.col(text)))).alias("f")).select(key, hash64(F.col("f")).alias("h"))
-    bit = lambda p: F.shiftrightunsigned("h", p).bitwiseAND(F.lit(1).cast("long"))
-    sums = [F.sum(sum(((F.shiftleft(bit(p + k), 21 * k)) for k in range(1, 3) if p + k < 64), bit(p))).alias(f"s{p}") for p in range(0, 64, 3)]
-    counted = ready.groupBy(key).agg(F.count("*").alias("n"), *sums)
-    votes = lambda p: F.shiftrightunsigned(f"s{p - p % 3}", 21 * (p % 3)).bitwiseAND(F.lit((1 << 21) - 1).cast("long"))
-    set_bit = lambda p: F.when(votes(p) * 2 > F.col("n"), F.lit((1 << p) - (1 << 64) * (p == 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    value = set_bit(0)
-    for p in range(1, 64):
-        value = value.bitwiseOR(set_bit(p))
-    return counted.select(key, value.alias("simhash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, int]] = {"char": {}, "token": {}}
+
+        def hashes(kind: str, found: list[str]) -> np.ndarray:
+            held, lead = known[kind], f"{SIMHASH}|{kind}|".encode()
+            if len(held) > REMEMBERED:
+                held.clear()
+            for f in found:
+                if f not in held:
+                    held[f] = int.from_bytes(hashlib.sha256(lead + f.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+            return np.fromiter(map(held.__getitem__, found), np.uint64, len(found))
+
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            for row, (chars, words) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                h = np.concatenate([hashes("char", chars.as_py()), hashes("token", words.as_py())])
+                votes = np.zeros(64, np.int64)
+                for low in range(0, len(h), 1 << 15):
+                    votes += np.unpackbits(h[low : low + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[row] = np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [key, "simhash"])
+
+    kind = items.schema[key].dataType.simpleString()
+    normal = T.normalized(F.col(text))
+    ready = items.where(T.indexable(F.col(text))).select(key, T.shingles(normal).alias("chars"), T.tokens(normal).alias("words"))
+    return ready.mapInArrow(run, f"`{key}` {kind}, simhash long")
 
 
 def hex64(value: Column) -> Column:

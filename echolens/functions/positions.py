@@ -16,12 +16,15 @@ SHELL, SHELL_LEAST, BARE_LEAST = "（产联社）", 15, 20
 def original_span(text: Column, start: Column, end: Column) -> Column:
     """The span of the text as it came that a span of its normalised form stands for: each line end takes a place more."""
     pieces = F.split(text, "\r\n", -1)
-    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-    step = lambda s, p: state(s["at"] + F.length(p) + 1, F.concat(s["out"], F.array(s["at"] + F.length(p))))
-    # places of the line ends in the normalised text
-    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), state(F.lit(0), F.array().cast("array<int>")), step, lambda s: s["out"])
-    before = lambda at: F.size(F.filter(ends, lambda p: p < at))
-    return F.struct((start + before(start)).alias("start"), (end + before(end)).alias("end"))
+    state = lambda at, s, e: F.struct(at.alias("at"), s.alias("s"), e.alias("e"))
+
+    def step(x: Column, piece: Column) -> Column:
+        """One line end further: at is its place in the normalised text; s and e count those before the span's ends."""
+        place = x["at"] + F.length(piece)
+        return state(place + 1, x["s"] + (place < start).cast("int"), x["e"] + (place < end).cast("int"))
+
+    lines = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), state(F.lit(0), F.lit(0), F.lit(0)), step)
+    return F.struct((start + lines["s"]).alias("start"), (end + lines["e"]).alias("end"))
 
 
 def windows(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:

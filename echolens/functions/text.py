@@ -40,8 +40,8 @@ def normalized_hash(text: Column) -> Column:
 
 
 def record_id(scope: Column, item: Column) -> Column:
-    """Digest of the compact JSON list of scope and item (ids without characters that JSON escapes)."""
-    return F.sha2(F.concat(F.lit('["'), scope, F.lit('","'), item, F.lit('"]')), 256)
+    """Digest of the compact JSON list of scope and item, escaped as JSON asks."""
+    return F.sha2(F.to_json(F.array(scope, item)), 256)
 
 
 def bucket_key(scope: Column, date: Column, version: Column, kind: Column, digest: Column) -> Column:

@@ -23,6 +23,8 @@ def families(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after.select("node", "root")
         if after.where("root <> old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no fixed point after {rounds} rounds")
     members = labels.groupBy("root").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("family_id"))
     return labels.join(members, "root").select("node", "root", "family_id")
 

@@ -32,18 +32,24 @@ def json_source(spark: SparkSession, d: str) -> DataFrame:
 STORE = {"key": "string", "version": "long", "value": "string"}
 
 
-@query(S.values(STORE | {"outcome": "string"}, [("a", 2, "a2", "replaced"), ("b", 1, "b1", "conflict"), ("c", 1, "c1", "created"), ("d", 4, "d4", "kept")], duck=True))
+STORED, WRITES = [("a", 1, "a1"), ("b", 1, "b1"), ("d", 4, "d4")], [("a", 1, "a2"), ("b", 7, "b2"), ("c", 0, "c1")]
+_MERGED = f"""WITH s AS ({S.values(STORE, STORED, duck=True)}), w AS ({S.values(STORE, WRITES, duck=True)}), j AS (SELECT coalesce(s.key, w.key) AS key, s.version AS held, s.value AS old, w.version AS seen, w.value AS new, w.key IS NOT NULL AS asked FROM s FULL JOIN w ON s.key = w.key)
+SELECT key, CASE WHEN asked AND seen = coalesce(held, 0) THEN seen + 1 ELSE held END AS version, CASE WHEN asked AND seen = coalesce(held, 0) THEN new ELSE old END AS value,
+       CASE WHEN NOT asked THEN 'kept' WHEN seen <> coalesce(held, 0) THEN 'conflict' WHEN held IS NULL THEN 'created' ELSE 'replaced' END AS outcome FROM j WHERE held IS NOT NULL OR seen = 0"""
+
+
+@query(_MERGED)
 def versioned_writes(spark: SparkSession, d: str) -> DataFrame:
     """Optimistic writes as a merge: a write names the version that it saw (0: none)."""
-    stored = S.literal(spark, STORE, [("a", 1, "a1"), ("b", 1, "b1"), ("d", 4, "d4")])
-    writes = S.literal(spark, STORE, [("a", 1, "a2"), ("b", 7, "b2"), ("c", 0, "c1")])
-    return store.merge(stored, writes)
+    return store.merge(S.literal(spark, STORE, STORED), S.literal(spark, STORE, WRITES))
+
 
+HELD, NEW = [("a",), ("b",)], [("a",), ("n",), ("m",), ("m",)]
 
-@query(S.values({"key": "string", "outcome": "string"}, [("a", "exists"), ("n", "created"), ("m", "duplicate")], duck=True))
+
+@query(f"WITH s AS ({S.values({'key': 'string'}, HELD, duck=True)}), n AS ({S.values({'key': 'string'}, NEW, duck=True)}) SELECT key, CASE WHEN key IN (SELECT key FROM s) THEN 'exists' WHEN count(*) > 1 THEN 'duplicate' ELSE 'created' END AS outcome FROM n GROUP BY key")
 def create_only(spark: SparkSession, d: str) -> DataFrame:
-    stored = S.literal(spark, {"key": "string"}, [("a",), ("b",)])
-    return store.create(stored, S.literal(spark, {"key": "string"}, [("a",), ("n",), ("m",), ("m",)]))
+    return store.create(S.literal(spark, {"key": "string"}, HELD), S.literal(spark, {"key": "string"}, NEW))
 
 
 @query("SELECT vec_id, CASE WHEN d.doc_id IS NULL THEN 'ES_MISSING' WHEN d.lang <> 'en' THEN 'AUTHORITY_MISMATCH' ELSE 'ok' END AS hole FROM embeddings LEFT JOIN documents d ON doc_id = vec_id")
@@ -123,7 +129,7 @@ PROOFS = [("p1", "h1", True, 1, 1, True, True), ("p1", "h2", True, 0, 0, True, T
 PROOF_COLUMNS = {"pair_id": "string", "fact_id": "string", "aligned": "boolean", "n_history": "int", "n_current": "int", "same_polarity": "boolean", "same_modality": "boolean"}
 
 
-@query(S.values({"pair_id": "string", "provable": "boolean"}, [("p1", True), ("p2", False), ("p3", False), ("p4", False), ("p5", False)], duck=True))
+@query(f"SELECT pair_id, bool_and(aligned AND n_history = n_current AND same_polarity AND same_modality) AS provable FROM ({S.values(PROOF_COLUMNS, PROOFS, duck=True)}) GROUP BY pair_id")
 def equivalence_proof(spark: SparkSession, d: str) -> DataFrame:
     """Facts of a pair prove equality if all are aligned, with as many numbers, the same polarity and the same modality."""
     return validate.provable(S.literal(spark, PROOF_COLUMNS, PROOFS))
@@ -132,9 +138,12 @@ def equivalence_proof(spark: SparkSession, d: str) -> DataFrame:
 SLOTS = [("r1", "f1", "price", "100"), ("r1", "f1", "price", "101"), ("r1", "f1", "volume", "5"), ("r1", "f2", "price", "7"), ("r2", "f1", "price", "9"), ("r2", "f1", "price", "9")]
 
 
-@query(S.values({"record_id": "string", "fact_id": "string", "slot": "string", "n_values": "long"}, [("r1", "f1", "price", 2)], duck=True))
+SLOT_COLUMNS = {"record_id": "string", "fact_id": "string", "slot": "string", "value": "string"}
+
+
+@query(f"SELECT record_id, fact_id, slot, count(DISTINCT value)::BIGINT AS n_values FROM ({S.values(SLOT_COLUMNS, SLOTS, duck=True)}) GROUP BY ALL HAVING count(DISTINCT value) > 1")
 def slot_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return validate.contradictions(S.literal(spark, {"record_id": "string", "fact_id": "string", "slot": "string", "value": "string"}, SLOTS))
+    return validate.contradictions(S.literal(spark, SLOT_COLUMNS, SLOTS))
 
 
 GATES = [("verbatim", True, 100), ("paraphrase", True, 263), ("coverage", True, 10), ("dimension", False, 3)]

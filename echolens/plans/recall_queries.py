@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints
@@ -105,10 +105,11 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(scor
 
 
 def channel_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels: equal texts, and the 40 items of the same source and language that came last, read off their order without a join."""
     rows = S.items(spark, d)
-    q, c = rows.alias("q"), rows.alias("c")
-    met = q.join(c, (F.col("q.source") == F.col("c.source")) & (F.col("q.lang") == F.col("c.lang")) & (F.col("c.arrival_seq") < F.col("q.arrival_seq")))
-    peers = recall.top(met.select(F.col("q.record_id").alias("query_id"), F.col("c.record_id").alias("cand_id"), F.col("c.arrival_seq").alias("arrival_seq")), 40, [F.col("arrival_seq").desc(), F.col("cand_id")])
+    last = Window.partitionBy("source", "lang").orderBy("arrival_seq", F.col("record_id").desc()).rowsBetween(-40, -1)
+    seen = rows.where("source is not null and lang is not null").select("record_id", F.reverse(F.collect_list(F.struct("record_id", "arrival_seq")).over(last)).alias("before"))
+    peers = seen.select(F.col("record_id").alias("query_id"), F.posexplode("before").alias("place", "c")).select("query_id", F.col("c.record_id").alias("cand_id"), "c.arrival_seq", (F.col("place") + 1).alias("rank"))
     cols = ["query_id", "cand_id", "arrival_seq", "rank"]
     return recall.hash_channel(rows).select(*cols, F.lit("hash").alias("channel")).unionByName(peers.select(*cols, F.lit("peer").alias("channel")))
 
@@ -129,7 +130,7 @@ TIES = [("q", "a", "x", 5, 3), ("q", "b", "x", 5, 24), ("q", "a", "y", 9, 12), (
 TIE_COLUMNS = {"query_id": "string", "channel": "string", "cand_id": "string", "arrival_seq": "long", "rank": "int"}
 
 
-@query(S.values({"cand_id": "string", "place": "int"}, [("x", 1), ("y", 2), ("z", 3)], duck=True))
+@query(f"SELECT cand_id, row_number() OVER (ORDER BY score DESC, arrival_seq, cand_id)::INTEGER AS place FROM (SELECT cand_id, arrival_seq, round(sum(1.0::DOUBLE / (60 + rank)), 15) AS score FROM ({S.values(TIE_COLUMNS, TIES, duck=True)}) GROUP BY ALL)")
 def rrf_exact_ties(spark: SparkSession, d: str) -> DataFrame:
     """Ranks 3 and 24 sum to the same fraction as 12 and 12, so the earlier arrival comes first."""
     return fusion.fuse(S.literal(spark, TIE_COLUMNS, TIES)).select("cand_id", "place")

@@ -88,19 +88,20 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MINHASH = FEATURES + """, kinds AS (SELECT DISTINCT f FROM grams),
-perms AS (SELECT f, p, substr(sha256('minhash_v1|news_flash_dedup_v1|' || p || '|' || f), 1, 16) AS h FROM kinds, (SELECT unnest(range(0, 16)) AS p)),
+perms AS (SELECT f, p, substr(sha256('minhash_v1|news_flash_dedup_v1|' || p || '|' || f), 1, 16) AS h FROM kinds, (SELECT unnest(range(0, 128)) AS p)),
 sig AS (SELECT record_id, p, min(h) AS h FROM grams JOIN perms USING (f) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_MINHASH} SELECT record_id, string_agg(h, ' ' ORDER BY p) AS signature FROM sig GROUP BY 1")
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """The first 16 of the 128 permutations (each is independent of the others)."""
-    return fingerprints.minhash(S.items(spark, d), permutations=16).select("record_id", F.array_join("signature", " ").alias("signature"))
+    """All 128 permutations of every document."""
+    return fingerprints.minhash(S.items(spark, d)).select("record_id", F.array_join("signature", " ").alias("signature"))
 
 
 @query(f"WITH {_MINHASH} SELECT record_id, 'minhash_v1:' || (p // 4) || ':' || sha256(unhex(string_agg(h, '' ORDER BY p))) AS band FROM sig GROUP BY record_id, p // 4")
 def minhash_band_rows(spark: SparkSession, d: str) -> DataFrame:
-    return fingerprints.minhash(S.items(spark, d), permutations=16).select("record_id", F.explode(fingerprints.minhash_bands(F.col("signature"), 4)).alias("band"))
+    """All 32 bands of every document."""
+    return fingerprints.minhash(S.items(spark, d)).select("record_id", F.explode(fingerprints.minhash_bands(F.col("signature"))).alias("band"))
 
 
 @query(f"WITH {ITEMS} SELECT record_id, i::INTEGER AS segment, substr(text, i * 448 + 1, 512) AS part FROM (SELECT record_id, text, unnest(range(0, CASE WHEN length(text) <= 512 THEN 1 ELSE ceil((length(text) - 512) / 448.0)::INTEGER + 1 END)) AS i FROM items WHERE text <> '')")

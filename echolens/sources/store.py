@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage by a table in the cluster's shared folder (a local one only where none is set)."""
+    """Cut lineage by a table in the cluster's shared folder (one of our own only under a local master, where none is set)."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="echolens-")
         spark.sparkContext.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +65,13 @@ def literal(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) ->
 def dictionary(rows: DataFrame) -> DataFrame:
     """Validates dictionary rows (section, surface, canonical, relation): adds ``problem``, null for a sound entry.
 
-    Problems, in order: an empty side, text that isn't NFC (by length after folding blanks), a surface with two canonical
-    forms, a surface listed twice, and a canonical form that is itself a surface of another entry.
+    Problems, in order: an empty side, text that isn't NFC (an Arrow pass: Spark has no function for it), a surface with two
+    canonical forms, a surface listed twice, and a canonical form that is itself a surface of another entry.
     """
+    composed = F.pandas_udf(lambda texts: texts.map(lambda t: t is None or unicodedata.is_normalized("NFC", t)).astype(bool), "boolean", F.PandasUDFType.SCALAR)
     per = rows.groupBy("section", "surface").agg(F.count_distinct("canonical").alias("forms"), F.count("*").alias("times"))
     chained = rows.alias("a").join(rows.select("section", F.col("surface").alias("s"), F.col("canonical").alias("c")).distinct().alias("b"), (F.col("a.section") == F.col("b.section")) & (F.col("a.canonical") == F.col("b.s")) & (F.col("b.s") != F.col("b.c")), "left_semi")
     chained = chained.select("section", "surface", "canonical").distinct().withColumn("chained", F.lit(True))
     joined = rows.join(per, ["section", "surface"]).join(chained, ["section", "surface", "canonical"], "left")
-    problem = F.when((F.trim("surface") == "") | (F.trim("canonical") == ""), "EMPTY").when(F.col("forms") > 1, "AMBIGUOUS").when(F.col("times") > 1, "DUPLICATE").when(F.col("chained"), "CHAINED")
+    problem = F.when((F.trim("surface") == "") | (F.trim("canonical") == ""), "EMPTY").when(~composed("surface") | ~composed("canonical"), "NOT_NFC").when(F.col("forms") > 1, "AMBIGUOUS").when(F.col("times") > 1, "DUPLICATE").when(F.col("chained"), "CHAINED")
     return joined.withColumn("problem", problem).select("section", "surface", "canonical", "problem")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from pathlib import Path
 
 import pytest
 from echolens.functions import facts, fingerprints, values
 from echolens.functions import text as T
-from echolens.operators import decide, gold, recall
+from echolens.operators import decide, gold, recall, verify
 from echolens.plans.recall_queries import prints
 from echolens.sources import tables as S
 from echolens.streaming import jobs
@@ -62,6 +63,46 @@ def test_numbers_are_exact() -> None:
     assert values.exact("1.20", "元", "", "10") == values.exact("0.12", "元", "", "1")
 
 
+NUMERALS = [
+    ("十", 10), ("十二", 12), ("二十", 20), ("一百零二", 102), ("一百二十", 120), ("一千零二十", 1020), ("三万五千", 35_000), ("一亿零五百", 100_000_500), ("三亿五千万", 350_000_000), ("一万亿", 10**12), ("百", 100), ("万", 10_000), ("零", 0), ("两千", 2000),
+    ("一万二", None), ("一百二", None), ("二〇二六", None), ("", None), ("甲", None), ("百十千", None),
+]
+
+
+@pytest.mark.parametrize(("raw", "value"), NUMERALS)
+def test_chinese_numerals(raw: str, value: int | None) -> None:
+    assert values.chinese_number(raw) == value
+
+
+def test_amounts_of_a_text() -> None:
+    found = {(str(v), p, dated) for v, p, dated in verify.amounts("2026年9月 第3季度 涨1,200.50点 5％ 330万手 三亿五千万 一点五")}
+    assert found == {("2026", False, True), ("9", False, True), ("3", False, True), ("2401/2", False, False), ("5", True, False), ("3300000", False, False), ("0", False, False), ("350000000", False, False), ("3/2", False, False)}
+
+
+def test_units_alone_are_no_conflict(spark: SparkSession) -> None:
+    row = spark.createDataFrame([("成交3亿元", "成交30000万元")], "a string, b string").select(verify.number_conflict(F.col("a"), F.col("b")).alias("c")).first()
+    assert not row.c
+
+
+def test_claims_are_grounded(spark: SparkSession) -> None:
+    """The same, another percent mark, a magnitude that follows; not a magnitude that doesn't, nor a number of no text."""
+    rows = [("成交330万手", ["330"], 0), ("成交330万手", ["330万"], 0), ("涨9%多", ["9"], 0), ("一共33000元整", ["330"], 1), ("涨9%多", ["8"], 1), ("涨9%多", ["大涨"], 0), ("净流入三亿元", ["三亿"], 0), (None, ["1"], 1), ("x", None, 0)]
+    got = spark.createDataFrame([(t, c) for t, c, _ in rows], "t string, c array<string>").select(F.size(verify.ungrounded(F.col("c"), F.col("t"))).alias("n")).collect()
+    assert [r.n for r in got] == [n for *_, n in rows]
+
+
+def test_record_ids_are_escaped_json(spark: SparkSession) -> None:
+    row = spark.createDataFrame([('a"b\\c', "d\ne")], "s string, i string").select(T.record_id(F.col("s"), F.col("i")).alias("r")).first()
+    assert row.r == hashlib.sha256(json.dumps(['a"b\\c', "d\ne"], separators=(",", ":")).encode()).hexdigest()
+
+
+def test_minhash_signatures_by_hand(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([("a", "abcd"), ("b", "xy")], "record_id string, text string")
+    got = {r.record_id: r.signature for r in fingerprints.minhash(rows).collect()}
+    for name, grams in (("a", ["abc", "bcd"]), ("b", ["xy"])):
+        assert got[name] == [min(hashlib.sha256(f"minhash_v1|news_flash_dedup_v1|{p}|{g}".encode()).hexdigest()[:16] for g in grams) for p in range(128)]
+
+
 def test_proportion_bound() -> None:
     assert gold.clopper_pearson_lower(9, 10) == pytest.approx(0.6058366975634952, abs=1e-9)
     assert gold.clopper_pearson_lower(0, 5) == gold.clopper_pearson_lower(0, 0) == 0.0
