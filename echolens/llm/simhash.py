@@ -12,8 +12,10 @@ links found are reduced to a minimum spanning forest by differing bits, which ke
 without listing all pairs. Where a similarity is asked for, a link counts only if the shingle sets have it, unless the fingerprints
 leave no doubt. There, fingerprints with an equal part are first linked to the smallest of them, which joins large groups of
 copies; then the tries' node pairs are descended between clusters that are still apart, and pairs of nodes that lie in one cluster
-are pruned as well: first for each leaf's nearest link to a cluster that holds more of the unit, then, when these have been held
-against the sets and the clusters joined, for all links that are left.
+are pruned as well. First this is done for each leaf's nearest link to another cluster. Only fingerprints that have such a link go
+on: since clusters only grow, no other can get one. For them, more bits of fingerprint are made, which tell similarities
+near the one asked for better apart, and nearest links are taken once more; then all links that are left between clusters. A pair
+that several tries would find is listed by the first of them alone.
 """
 
 from __future__ import annotations
@@ -115,15 +117,15 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 class Trie:
     """How fingerprints of ``words`` 64-bit words are cut into parts, and which links count.
 
-    rounds: how often they are cut, the bits being dealt anew into parts each time. rooted: a further word names each node's
-    cluster; all links between different clusters are listed, not a forest. nearest: of these, for two clusters in a unit only
-    the nearest link of each leaf of the smaller one.
+    rounds: how often they are cut, the bits being dealt anew into parts each time. further: words after these, which count for
+    ``total`` alone. rooted: a last word names each node's cluster; all links between different clusters are listed, not a forest.
+    nearest: of these only each leaf's nearest one in a unit. marked: leaves that have links, but none listed, are listed with themselves.
     """
 
-    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False, nearest: bool = False, rounds: int = 1) -> None:
-        self.nearest = nearest
+    def __init__(self, words: int, bits: int, budget: int, total: int, step: int = 4, rooted: bool = False, nearest: bool = False, marked: bool = False, rounds: int = 1, further: int = 0) -> None:
+        self.nearest, self.marked, self.held = nearest, marked, words + further
         self.words, self.bits, self.budget, self.total, self.step = words, bits, budget, total, step
-        self.rooted, self.whole = rooted, words * 64 == bits
+        self.rooted, self.whole = rooted, self.held * 64 == bits
         self.blocks = _blocks(bits, budget)
         self.deals = [None, *(np.random.default_rng(r).permutation(words * 64) for r in range(1, rounds))]
 
@@ -145,9 +147,9 @@ class Trie:
             nodes, n = batch.column(0).cast(pa.int64()), batch.num_rows
             if not n:
                 continue
-            fps = _words(batch.column(1), self.words + self.rooted)
+            fps = _words(batch.column(1), self.held + self.rooted)
             root = pa.array(_signed(fps[:, -1])) if self.rooted else nodes
-            held = pa.nulls(n, pa.binary()) if self.whole else pa.array([x[: 8 * self.words] for x in batch.column(1).to_pylist()], pa.binary())
+            held = pa.nulls(n, pa.binary()) if self.whole else pa.array([x[: 8 * self.held] for x in batch.column(1).to_pylist()], pa.binary())
             parts = self.parts(fps[:, : self.words])
             for p in range(parts.shape[1]):
                 for k, (first, length) in enumerate(self.blocks):
@@ -203,7 +205,7 @@ class Trie:
         leaf = leaf.view(np.uint64)
         order = np.lexsort((leaf, side, of))
         side, node, leaf, of, root = side[order], node[order], leaf[order], of[order], root[order]
-        fps = leaf[:, None] if self.whole else _words(leaves.field("fp"), self.words)[order]
+        fps = leaf[:, None] if self.whole else _words(leaves.field("fp"), self.held)[order]
         # a node is a run of sorted leaves; the frontier holds pairs of nodes and what they differ in so far
         first = np.searchsorted(of, np.arange(len(trie)))
         last = np.searchsorted(of, np.arange(len(trie)), "right")
@@ -228,7 +230,7 @@ class Trie:
                 of_pair = np.repeat(np.arange(len(times)), times)
                 place = np.arange(len(of_pair)) - np.repeat(np.cumsum(times) - times, times)
                 p, q = a0[done][of_pair] + place // wide[of_pair], b0[done][of_pair] + place % wide[of_pair]
-                near = (_popcount(leaf[p] ^ leaf[q]) <= self.budget) & (root[p] != root[q])
+                near = (_popcount(leaf[p] ^ leaf[q]) <= self.budget) & (root[p] != root[q]) & ((p < q) | (a0 != b0)[done][of_pair])
                 found.append(np.stack([p[near], q[near]]))
             a0, a1, b0, b1, diff, level, unit_of = (x[~done] for x in (a0, a1, b0, b1, diff, level, unit_of))
             if not len(a0):
@@ -244,15 +246,17 @@ class Trie:
         far = _popcount(fps[p] ^ fps[q]).sum(axis=1)
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
-        if self.rooted and self.nearest and len(p):
-            cluster = np.unique(np.stack([of, root]), axis=1, return_inverse=True)[1].ravel()
-            size = np.bincount(cluster)[cluster]
-            small = np.where((size[p] < size[q]) | ((size[p] == size[q]) & (root[p] > root[q])), p, q)
-            other = p + q - small
-            order = np.lexsort((node[other], far, cluster[other], small))
-            first = order[np.append(True, (np.diff(small[order]) != 0) | (np.diff(cluster[other][order]) != 0))]
-            p, q, far = p[first], q[first], far[first]
         if self.rooted:
+            own = self._own(self.parts(fps[:, : self.words]), p, q, trie[of[p]])
+            p, q, far = p[own], q[own], far[own]
+            ends = np.unique(np.concatenate([p, q])) if self.marked else p[:0]
+            if self.nearest:
+                one, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+                order = np.lexsort((node[np.concatenate([q, p])], far[pair], one))
+                keep = np.unique(pair[order[np.unique(one[order], return_index=True)[1]]])
+                p, q, far = p[keep], q[keep], far[keep]
+            ends = np.setdiff1d(ends, np.concatenate([p, q]))
+            p, q, far = np.concatenate([p, ends]), np.concatenate([q, ends]), np.concatenate([far, np.zeros(len(ends), np.int64)])
             return pa.RecordBatch.from_arrays([pa.array(node[p], pa.int64()), pa.array(node[q], pa.int64()), pa.array(far.astype(np.int32))], ["a", "b", "far"])
         label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
         for level in np.unique(far):
@@ -273,6 +277,18 @@ class Trie:
         keep = np.concatenate(chosen)
         return pa.RecordBatch.from_arrays([pa.array(node[p[keep]], pa.int64()), pa.array(node[q[keep]], pa.int64()), pa.array(far[keep].astype(np.int32))], ["a", "b", "far"])
 
+    def _own(self, parts: np.ndarray, p: np.ndarray, q: np.ndarray, trie: np.ndarray) -> np.ndarray:
+        """Which pairs are met in none of the tries before the given one: each pair of near leaves is so in just one of its tries."""
+        part, block = trie // len(self.blocks), trie % len(self.blocks)
+        own = np.ones(len(p), bool)
+        for k in range(parts.shape[1]):
+            differ = parts[p, k] ^ parts[q, k]
+            own &= (k >= part) | (_popcount(differ) > self.budget)
+            for j, (first, length) in enumerate(self.blocks):
+                bits = np.uint64(((1 << length) - 1) << (64 - first - length))
+                own &= (k != part) | (j >= block) | ((differ & bits) != 0)
+        return own
+
     @staticmethod
     def _turn(leaf: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Where, within each sorted run, the given bit turns to 1: a binary search of all runs at once."""
@@ -310,7 +326,8 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
         if large.isEmpty():
             break
         rows = rows.join(large.drop("n"), UNIT).select(*NAMES).mapInArrow(trie.split, ROWS)
-    return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return out.select(*ends, "far") if trie.rooted else out.groupBy(*ends).agg(F.min("far").alias("far"))
 
 
 def stars(distinct: DataFrame, trie: Trie, tag: str) -> DataFrame:
@@ -355,12 +372,21 @@ def similar(edges: DataFrame, docs: DataFrame, shingle: int, least: float, tag:
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, rounds: int = 1, total: int | None = None, distinct: bool = False, similarity: float | None = None, sure: int = 0, tag: str = "simhash") -> DataFrame:
+def extended(nodes: DataFrame, docs: DataFrame, shingle: int, words: int, further: int, distinct: bool) -> DataFrame:
+    """``nodes`` (node, fp) with ``further`` words more in fp, made of the node's text."""
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    longer = fingerprints(wanted.groupBy("doc_id").agg(F.min("text").alias("text")), shingle, words + further, distinct)
+    after = longer.select(F.col("doc_id").alias("node"), F.substring("fp", 8 * words + 1, 8 * further).alias("after"))
+    return nodes.join(after, "node").select("node", F.concat("fp", "after").alias("fp"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int = 64, budget: int = 2, rounds: int = 1, total: int | None = None, distinct: bool = False, similarity: float | None = None, sure: int = 0, further: int = 0, further_total: int = 0, tag: str = "simhash") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     A fingerprint has ``words`` 64-bit words cut into parts of ``bits`` bits, ``rounds`` times. Two documents are linked if some part
     differs in at most ``budget`` bits and the whole in at most ``total`` (default: ``budget``). With a ``similarity``,
-    links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity. component_id is the smallest
+    links of more than ``sure`` bits stand only if the shingle sets have that Jaccard similarity; fingerprints with links between clusters
+    get ``further`` words more, and ``further_total`` is the bound on bits for all words together. component_id is the smallest
     doc_id reachable over links. Null, empty and blank texts share fingerprint zero and are linked like any other.
     Rows with a null doc_id are returned with a null component. Repeated doc_ids are one node; where a similarity is asked for,
     the first of their texts in order stands for them. An empty table gives none.
@@ -371,19 +397,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
     if similarity is None:
         edges = links(nodes, trie, tag)
     else:
-        first = materialize(stars(nodes, trie, tag), f"{tag}-stars")
+        every, first = nodes, materialize(stars(nodes, trie, tag), f"{tag}-stars")
+        seen = first.select("a", "b")
         held = first.where(F.col("far") <= sure).select("a", "b").unionByName(similar(first.where(F.col("far") > sure), docs, shingle, similarity, tag))
         held = materialize(held, f"{tag}-held")
         root = F.unhex(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"))
-        for nearest in (True, False):
-            part = f"{tag}-{'near' if nearest else 'rest'}"
+        for turn, (marked, nearest) in enumerate([(True, True), (False, True), (False, False)]):
+            part, more = f"{tag}-turn{turn}", 0 if marked else further
+            near = Trie(words, bits, budget, further_total if more else trie.total, rooted=True, nearest=nearest, marked=marked, rounds=rounds, further=more)
             rooted = materialize(nodes.join(components(held, part), "node", "left").select("node", F.concat("fp", root).alias("fp")), f"{part}-rooted")
-            more = links(rooted, Trie(words, bits, budget, trie.total, rooted=True, nearest=nearest, rounds=rounds), part)
-            more = materialize(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), f"{part}-links")
-            found = more.where(F.col("far") <= sure).select("a", "b").unionByName(similar(more.where(F.col("far") > sure), docs, shingle, similarity, part))
+            listed = materialize(links(rooted, near, part), f"{part}-listed")
+            if marked:
+                nodes_left = listed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                nodes = materialize(extended(nodes.join(nodes_left, "node"), docs, shingle, words, further, distinct), f"{part}-nodes")
+            new = materialize(listed.where("a <> b").join(seen, ["a", "b"], "left_anti"), f"{part}-links")
+            certain = F.col("far") <= sure * near.held // words
+            found = new.where(certain).select("a", "b").unionByName(similar(new.where(~certain), docs, shingle, similarity, part))
             held = materialize(held.unionByName(found), f"{part}-held")
-            first = first.select("a", "b").unionByName(more.select("a", "b"))
-        edges = held
+            seen = seen.unionByName(new.select("a", "b"))
+        nodes, edges = every, held
     roots = components(edges, tag)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     named = materialize(named, f"{tag}-named")
@@ -393,8 +425,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, bits: int
 #: 256 bits over distinct 5-word shingles, dealt twice into eight 32-bit parts. A Jaccard similarity of 0.8 of two sets of one
 #: size is a cosine of 0.889, an angle of 0.151 of a half turn: 38.7 of 256 bits are expected to differ, give or take 5.7. Links of
 #: up to 54 bits are looked at (2.7 deviations more); up to 12 bits (4.7 less) they are sure. One of sixteen parts differs in 3 bits
-#: or fewer with a probability of 0.99.
-NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "rounds": 2, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12}
+#: or fewer with a probability of 0.99. With twelve words more, 154.4 of 1,024 bits are expected to differ, give or take 11.5, and
+#: links of up to 187 are looked at (2.9 deviations more).
+NEAR = {"shingle": 5, "words": 4, "bits": 32, "budget": 3, "rounds": 2, "total": 54, "distinct": True, "similarity": 0.8, "sure": 12, "further": 12, "further_total": 187}
 
 
 def one_of_each_group(docs: DataFrame, tag: str = "simhash-stage") -> DataFrame:
