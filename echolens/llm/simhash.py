@@ -103,7 +103,12 @@ def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
 
 
 def _words(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    if not len(column):
+        return np.zeros((0, words), np.uint64)
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return data[at[0] : at[-1]].view(">u8").astype(np.uint64).reshape(-1, words)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -191,8 +196,8 @@ class Trie:
             leaves = batch.column(5)
             sizes = np.diff(leaves.offsets.to_numpy())
             row = 0
-            while row < len(sizes):  # whole units, of a bounded number of possible pairs together
-                reach = np.cumsum(sizes[row:].astype(np.int64) ** 2)
+            while row < len(sizes):  # whole units, of a bounded number of leaves and of possible pairs together
+                reach = np.cumsum(sizes[row:].astype(np.int64) * (sizes[row:] + 32))
                 stop = row + max(1, int(np.searchsorted(reach, 1_000_000, "right")))
                 some = leaves.slice(row, stop - row).flatten()
                 of = np.repeat(np.arange(stop - row), sizes[row:stop])
@@ -247,7 +252,8 @@ class Trie:
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
         if self.rooted:
-            own = self._own(self.parts(fps[:, : self.words]), p, q, trie[of[p]])
+            met, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+            own = self._own(self.parts(fps[met, : self.words]), at[: len(p)], at[len(p) :], trie[of[p]])
             p, q, far = p[own], q[own], far[own]
             ends = np.unique(np.concatenate([p, q])) if self.marked else p[:0]
             if self.nearest:
