@@ -84,7 +84,7 @@ def _parts(fps: np.ndarray, bits: int) -> np.ndarray:
     """(n, words) fingerprints cut into (n, parts) left-aligned 64-bit words of ``bits`` bits."""
     per = 64 // bits
     cols = [fps << np.uint64(bits * k) for k in range(per)]
-    out = np.stack(cols, axis=2).reshape(len(fps), -1)
+    out = np.stack(cols, axis=2).reshape(len(fps), per * fps.shape[1])
     return out & np.uint64(((1 << bits) - 1) << (64 - bits))
 
 
@@ -139,7 +139,7 @@ class Trie:
         out = []
         for deal in self.deals:
             if deal is not None:
-                dealt = np.unpackbits(np.ascontiguousarray(fps.astype(">u8")).view(np.uint8).reshape(len(fps), -1), axis=1)[:, deal]
+                dealt = np.unpackbits(np.ascontiguousarray(fps.astype(">u8")).view(np.uint8).reshape(len(fps), 8 * self.words), axis=1)[:, deal]
                 some = np.ascontiguousarray(np.packbits(dealt, axis=1)).view(">u8").astype(np.uint64)
             else:
                 some = fps

@@ -762,3 +762,27 @@ def test_pipeline_stages(spark: SparkSession, small: str) -> None:
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == columns
     assert sorted(map(str, corpus_pipeline.run(spark, small).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_a_pair_belongs_to_the_first_trie_that_meets_it():
+    """Of all tries in which two near parts agree in a block, one owns the pair; no fingerprints at all give no parts."""
+    trie = simhash.Trie(4, 32, 3, 54, rooted=True, rounds=2)
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 1 << 63, (200, 4), dtype=np.uint64)
+    other = one.copy()
+    for k in range(200):
+        for bit in rng.choice(256, rng.integers(1, 40), replace=False).tolist():
+            other[k, bit // 64] ^= np.uint64(1 << (bit % 64))
+    parts = trie.parts(np.concatenate([one, other]))
+    p, q = np.arange(200), np.arange(200, 400)
+    n_blocks = len(trie.blocks)
+    owners, met = np.zeros(200, int), np.zeros(200, bool)
+    for t in range(parts.shape[1] * n_blocks):
+        first, length = trie.blocks[t % n_blocks]
+        differ = parts[p, t // n_blocks] ^ parts[q, t // n_blocks]
+        mask = np.uint64(((1 << length) - 1) << (64 - first - length))
+        here = (np.bitwise_count(differ) <= trie.budget) & ((differ & mask) == 0)
+        owners += here & trie._own(parts, p, q, np.full(200, t))
+        met |= here
+    assert met.sum() > 50 and (owners == met).all()
+    assert trie.parts(np.zeros((0, 4), np.uint64)).shape == (0, 16)
