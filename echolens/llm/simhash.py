@@ -4,8 +4,9 @@ Fingerprints are the leaves of binary tries. A node pair (P, Q) is joined by des
 differing bit whenever the sides turn apart, and is dropped once more than ``budget`` bits differ. To spread the work,
 each fingerprint part is stored in ``budget + 1`` tries, one for each of its blocks turned to the front: two parts that
 differ in at most ``budget`` bits agree in one block, so some trie holds them under one subtree root. Subtree roots are
-the units of work. A root that holds too many leaves is replaced by its child pairs within the budget, as often as needed,
-so no unit grows with the corpus; nothing is capped or dropped.
+the units of work. A unit may hold four times the leaves that an even spread gives it, up to LARGEST: its descent takes the frontier
+in bounded pieces. One that holds more is replaced by its child pairs within the budget, only as many levels down as it takes, since
+every level hands its leaves to more pairs; so no unit grows with the corpus, and nothing is capped or dropped.
 
 Only distinct fingerprints take part, exact copies having been merged by a pre-aggregated minimum. Inside a unit the
 links found are reduced to a minimum spanning forest by differing bits, which keeps every connection at every distance
@@ -32,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import components, handed_back, materialize, mix64, table
 
 SEED = 42
+#: Leaves of a unit, at most: some 30 MB in a task.
+LARGEST = 1 << 17
+#: Pairs of leaves that a descent looks at together, and links that it holds before it reduces them.
+AT_ONCE, HELD = 1 << 19, 1 << 17
 
 
 def shingle_hashes(text: bytes, size: int, distinct: bool) -> np.ndarray:
@@ -146,6 +151,10 @@ class Trie:
             out.append(_parts(some, self.bits))
         return np.concatenate(out, axis=1)
 
+    def units(self) -> int:
+        """How many subtree roots all tries have together."""
+        return len(self.deals) * (self.words * 64 // self.bits) * sum(1 << length for _, length in self.blocks)
+
     def roots(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each distinct fingerprint and trie: the self pair of the subtree root that it hangs under."""
         for batch in handed_back(batches):
@@ -164,13 +173,13 @@ class Trie:
                     yield pa.RecordBatch.from_arrays([ints(p * len(self.blocks) + k), ints(length), prefix, prefix, ints(0), ints(2), nodes, pa.array(_signed(leaf)), root, held], NAMES)
 
     def split(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of units that hold too much, handed to the child pairs within the budget, ``step`` levels down."""
+        """Rows of units that hold too much, handed to the child pairs within the budget, as many levels down as the last column says."""
         for batch in batches:
             trie, depth, a, b, used, side = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             if not len(trie):
                 continue
             leaf = batch.column(7).to_numpy().view(np.uint64)
-            step = np.minimum(self.step, self.bits - depth)
+            step = np.minimum(batch.column(10).to_numpy(), self.bits - depth)
             down = depth + step
             own = _signed(leaf >> (64 - down).astype(np.uint64))
             low = own & ((1 << step) - 1)
@@ -218,53 +227,86 @@ class Trie:
         both = np.array([side[f] == 2 if f < l else False for f, l in zip(first, last, strict=True)], bool)
         a0, a1 = first.copy(), np.where(both, last, middle)
         b0, b1 = np.where(both, first, middle), last.copy()
-        diff, level, unit_of = used.astype(np.int64).copy(), depth.astype(np.int64).copy(), np.arange(len(trie))
-        found = []
+        diff, level = used.astype(np.int64), depth.astype(np.int64)
         # a run of leaves lies in one cluster if the cluster doesn't change within it
         turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])]) if len(root) else np.zeros(1, np.int64)
         inner = max(len(root) - 1, 0)
-        while len(a0):
+        links, found, size, ends = (np.zeros(0, np.int64),) * 3, [], 0, np.zeros(len(node), bool)
+        waiting = [(a0, a1, b0, b1, diff, level)]
+        while waiting:
+            a0, a1, b0, b1, diff, level = waiting.pop()
             alive = (a1 > a0) & (b1 > b0) & (diff <= self.budget) & ~((a0 == b0) & (a1 - a0 < 2))
             af, al, bf, bl = (np.clip(x, 0, inner) for x in (a0, a1 - 1, b0, b1 - 1))
             if len(root):
                 alive &= ~((turns[af] == turns[al]) & (turns[bf] == turns[bl]) & (root[af] == root[bf]))
-            a0, a1, b0, b1, diff, level, unit_of = (x[alive] for x in (a0, a1, b0, b1, diff, level, unit_of))
-            done = ((a1 - a0) * (b1 - b0) <= 32) | (level >= self.bits)
+            a0, a1, b0, b1, diff, level = (x[alive] for x in (a0, a1, b0, b1, diff, level))
+            if not len(a0):
+                continue
+            times = (a1 - a0) * (b1 - b0)
+            done = (times <= 32) | ((level >= self.bits) & (times <= AT_ONCE // 4))
+            # as many as can be held at once; the others wait
+            stop = max(1, int(np.searchsorted(np.cumsum(np.where(done, times, 32)), AT_ONCE, "right")))
+            if stop < len(a0):
+                waiting.append(tuple(x[stop:] for x in (a0, a1, b0, b1, diff, level)))
+                a0, a1, b0, b1, diff, level, times, done = (x[:stop] for x in (a0, a1, b0, b1, diff, level, times, done))
             if done.any():  # the leaves below a small pair of nodes, all with all
-                wide, times = (b1 - b0)[done], ((a1 - a0) * (b1 - b0))[done]
+                wide, times = (b1 - b0)[done], times[done]
                 of_pair = np.repeat(np.arange(len(times)), times)
                 place = np.arange(len(of_pair)) - np.repeat(np.cumsum(times) - times, times)
                 p, q = a0[done][of_pair] + place // wide[of_pair], b0[done][of_pair] + place % wide[of_pair]
                 near = (_popcount(leaf[p] ^ leaf[q]) <= self.budget) & (root[p] != root[q]) & ((p < q) | (a0 != b0)[done][of_pair])
                 found.append(np.stack([p[near], q[near]]))
-            a0, a1, b0, b1, diff, level, unit_of = (x[~done] for x in (a0, a1, b0, b1, diff, level, unit_of))
+                size += found[-1].shape[1]
+                if size > HELD:
+                    links, found, size = self._reduced(links, found, node, fps, trie, of, ends), [], 0
+            a0, a1, b0, b1, diff, level = (x[~done] for x in (a0, a1, b0, b1, diff, level))
             if not len(a0):
-                break
-            bit = (63 - level).astype(np.uint64)
-            am, bm = self._turn(leaf, a0, a1, bit), self._turn(leaf, b0, b1, bit)
-            same = a0 == b0
-            level = level + 1
-            pick = lambda lo, hi, lo2, hi2, more, mask=None: tuple(x if mask is None else x[mask] for x in (lo, hi, lo2, hi2, diff + more, level, unit_of))  # noqa: E731, B023
-            kids = [pick(a0, am, b0, bm, 0), pick(am, a1, bm, b1, 0), pick(a0, am, bm, b1, 1), pick(am, a1, b0, bm, 1, ~same)]
-            a0, a1, b0, b1, diff, level, unit_of = (np.concatenate(x) for x in zip(*kids, strict=True))
+                continue
+            # sides of equal leaves, which no bit parts, are halved
+            whole = level >= self.bits
+            bit = np.where(whole, 0, 63 - level).astype(np.uint64)
+            am, bm = (np.where(whole, (low + high) >> 1, self._turn(leaf, low, high, bit)) for low, high in ((a0, a1), (b0, b1)))
+            same, more = a0 == b0, np.where(whole, 0, 1)
+            level = level + more
+            pick = lambda lo, hi, lo2, hi2, more, mask=slice(None): tuple(x[mask] for x in (lo, hi, lo2, hi2, diff + more, level))  # noqa: E731, B023
+            kids = [pick(a0, am, b0, bm, 0), pick(am, a1, bm, b1, 0), pick(a0, am, bm, b1, more), pick(am, a1, b0, bm, more, ~same)]
+            waiting.append(tuple(np.concatenate(x) for x in zip(*kids, strict=True)))
+        p, q, far = self._reduced(links, found, node, fps, trie, of, ends)
+        if self.marked:
+            ends[p] = ends[q] = False
+            alone = np.flatnonzero(ends)
+            p, q, far = np.concatenate([p, alone]), np.concatenate([q, alone]), np.concatenate([far, np.zeros(len(alone), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(node[p], pa.int64()), pa.array(node[q], pa.int64()), pa.array(far.astype(np.int32))], ["a", "b", "far"])
+
+    def _reduced(self, links: tuple[np.ndarray, ...], found: list[np.ndarray], node: np.ndarray, fps: np.ndarray, trie: np.ndarray, of: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(p, q, far): earlier ``links`` and those of the pairs ``found``, as far as they are listed; ``ends`` marks all leaves with links.
+
+        What is listed of some links and of what others leave is what is listed of all together.
+        """
         p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        far = _popcount(fps[p] ^ fps[q]).sum(axis=1)
+        far = np.concatenate([links[0][:0], *(_popcount(fps[p[low : low + HELD]] ^ fps[q[low : low + HELD]]).sum(axis=1) for low in range(0, len(p), HELD))])
         near = (p != q) & (far <= self.total)
         p, q, far = p[near], q[near], far[near]
         if self.rooted:
             met, at = np.unique(np.concatenate([p, q]), return_inverse=True)
             own = self._own(self.parts(fps[met, : self.words]), at[: len(p)], at[len(p) :], trie[of[p]])
             p, q, far = p[own], q[own], far[own]
-            ends = np.unique(np.concatenate([p, q])) if self.marked else p[:0]
-            if self.nearest:
-                one, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
-                order = np.lexsort((node[np.concatenate([q, p])], far[pair], one))
-                keep = np.unique(pair[order[np.unique(one[order], return_index=True)[1]]])
-                p, q, far = p[keep], q[keep], far[keep]
-            ends = np.setdiff1d(ends, np.concatenate([p, q]))
-            p, q, far = np.concatenate([p, ends]), np.concatenate([q, ends]), np.concatenate([far, np.zeros(len(ends), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(node[p], pa.int64()), pa.array(node[q], pa.int64()), pa.array(far.astype(np.int32))], ["a", "b", "far"])
-        label, chosen = np.arange(len(node)), [np.zeros(0, np.int64)]
+            ends[p] = ends[q] = True
+        p, q, far = (np.concatenate(x) for x in zip(links, (p, q, far), strict=True))
+        if not self.rooted:
+            keep = self._forest(p, q, far, len(node))
+        elif self.nearest:
+            one, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+            order = np.lexsort((node[np.concatenate([q, p])], far[pair], one))
+            keep = np.unique(pair[order[np.unique(one[order], return_index=True)[1]]])
+        else:
+            keep = slice(None)
+        return p[keep], q[keep], far[keep]
+
+    @staticmethod
+    def _forest(p: np.ndarray, q: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+        """Places of links that span what all links connect, nearest first."""
+        label, chosen = np.arange(n), [np.zeros(0, np.int64)]
         for level in np.unique(far):
             at = np.flatnonzero(far == level)
             while len(at := at[label[p[at]] != label[q[at]]]):
@@ -280,8 +322,7 @@ class Trie:
                     if (new == label).all():
                         break
                     label = new
-        keep = np.concatenate(chosen)
-        return pa.RecordBatch.from_arrays([pa.array(node[p[keep]], pa.int64()), pa.array(node[q[keep]], pa.int64()), pa.array(far[keep].astype(np.int32))], ["a", "b", "far"])
+        return np.concatenate(chosen)
 
     def _own(self, parts: np.ndarray, p: np.ndarray, q: np.ndarray, trie: np.ndarray) -> np.ndarray:
         """Which pairs are met in none of the tries before the given one: each pair of near leaves is so in just one of its tries."""
@@ -313,16 +354,20 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
     """Links (a, b, far) between the nodes of ``distinct`` (node, fp), all fingerprints being different: those that span what a part
     connects, or all between clusters, of at most ``trie.total`` differing bits (far) in the whole.
 
-    ``most``: leaves that one unit may hold before it is split further; a memory bound, not a cap on links.
+    ``most``: leaves that one unit may hold before it is split further, or more where the roots hold that many on average (see
+    LARGEST); a memory bound, not a cap on links.
     """
     # a fingerprint becomes a row for each trie: spread evenly, however few files the fingerprints are in
     spread = distinct.select("node", "fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = spread.mapInArrow(trie.roots, ROWS)
     out: DataFrame | None = None
-    for depth in range(1, trie.bits // trie.step + 2):
+    for depth in range(1, trie.bits + 2):
         rows = materialize(rows, f"{tag}-units{depth}") if depth > 1 else rows
-        sizes = rows.groupBy(*UNIT).agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high")).where("n > 1 and (low = 2 or low < high)")
+        # units of one cluster have no links to list
+        sizes = rows.groupBy(*UNIT).agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"), (F.min("root") < F.max("root")).alias("apart")).where("apart and (low = 2 or low < high)")
         sizes = materialize(sizes.select(*UNIT, "n"), f"{tag}-sizes{depth}")
+        if depth == 1:
+            most = max(most, min(LARGEST, 4 * (sizes.agg(F.sum("n")).first()[0] or 0) // trie.units()))
         fits = (F.col("n") <= most) | (F.col("depth") >= trie.bits)
         small = rows.join(sizes.where(fits).drop("n"), UNIT)
         units = small.groupBy(*UNIT).agg(F.collect_list(F.struct("side", "node", "leaf", "root", "fp")).alias("leaves"))
@@ -331,7 +376,8 @@ def links(distinct: DataFrame, trie: Trie, tag: str, most: int = 2048) -> DataFr
         large = sizes.where(~fits)
         if large.isEmpty():
             break
-        rows = rows.join(large.drop("n"), UNIT).select(*NAMES).mapInArrow(trie.split, ROWS)
+        levels = F.least(F.lit(trie.step), F.ceil(F.log2(F.col("n") / most)) + F.when(F.col("side") == 2, 1).otherwise(0))
+        rows = rows.join(large, UNIT).select(*NAMES, levels.cast("long").alias("levels")).mapInArrow(trie.split, ROWS)
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     return out.select(*ends, "far") if trie.rooted else out.groupBy(*ends).agg(F.min("far").alias("far"))
 

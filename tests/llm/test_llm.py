@@ -104,6 +104,72 @@ def test_trie_join_splits_units(spark: SparkSession, most: int) -> None:
     assert {k: roots.get(k, k) for k in values} == merged(values, 2)
 
 
+def test_evenly_spread_fingerprints_are_not_handed_to_more_units(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Units that grow with the corpus stay whole, so the rows of a fingerprint don't multiply; only what stands out is split."""
+    rows: list[int] = []
+    written = simhash.materialize
+
+    def counted(df: DataFrame, tag: str) -> DataFrame:
+        out = written(df, tag)
+        if "-units" in tag:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rng = np.random.default_rng(8)
+    n = 3000
+    values = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
+    far = {(a, a + 1 + int(k)) for a in range(len(values)) for k in np.flatnonzero(np.bitwise_count(values[a + 1 :] ^ values[a]) <= 17)}
+    parts = simhash._parts(values[:, None], 16)
+    met = {(a, b) for a, b in far if (np.bitwise_count(parts[a] ^ parts[b]) <= 3).any()}
+    nodes = spark.createDataFrame([(k, bytearray(struct.pack(">Q", int(v)))) for k, v in enumerate(values)], "node long, fp binary")
+    edges = simhash.links(nodes, simhash.Trie(1, 16, 3, 17), "t", most=64).collect()
+    assert len(met) > 50 and merged_pairs({(e.a, e.b) for e in edges}, len(values)) == merged_pairs(met, len(values))
+    assert sum(rows) <= 16 * len(values)
+
+
+@pytest.mark.parametrize(("rooted", "nearest"), [(False, False), (True, True), (True, False)])
+def test_a_unit_is_the_same_in_pieces(monkeypatch: pytest.MonkeyPatch, rooted: bool, nearest: bool) -> None:
+    """A descent that holds few pairs at once lists what one that holds all does, groups of equal parts among them."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    fps[:, 0] = rng.choice(fps[:40, 0], 300) ^ (np.uint64(1) << rng.integers(32, 56, 300, dtype=np.uint64))
+    fps[:90, 0] = fps[0, 0]
+    fps[:, 1] = fps[0, 1] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    fps[:, 0] &= np.uint64((1 << 56) - 1)
+    trie = simhash.Trie(2, 32, 3, 24, rooted=rooted, nearest=nearest, marked=nearest)
+    leaf = trie.parts(fps)[:, 0].view(np.int64)
+    root = np.arange(300) % 7 if rooted else np.arange(300)
+    leaves = pa.StructArray.from_arrays([pa.array(np.full(300, 2, np.int32)), pa.array(np.arange(300)), pa.array(leaf), pa.array(root), pa.array([x.astype(">u8").tobytes() for x in fps], pa.binary())], ["side", "node", "leaf", "root", "fp"])
+    unit = [np.array([x]) for x in (0, 8, 0, 0, 0)]
+
+    def listed() -> set[tuple[int, int, int]]:
+        got = trie._links(leaves, np.zeros(300, np.int64), unit).to_pydict()
+        return {(min(a, b), max(a, b), far) for a, b, far in zip(got["a"], got["b"], got["far"], strict=True)}
+
+    whole = listed()
+    monkeypatch.setattr(simhash, "AT_ONCE", 1 << 8)
+    monkeypatch.setattr(simhash, "HELD", 64)
+    pieces_ = listed()
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    near = np.bitwise_count(leaf.view(np.uint64)[:, None] ^ leaf.view(np.uint64)[None]) <= 3
+    every = {(a, b, int(far[a, b])) for a in range(300) for b in range(a + 1, 300) if near[a, b] and far[a, b] <= 24 and root[a] != root[b]}
+    assert len(every) > 1000 and {x for x in whole if x[0] != x[1]} <= every
+    if rooted:
+        assert pieces_ == whole and (nearest or whole == every)
+    else:
+        groups = [merged_pairs({x[:2] for x in some}, 300) for some in (whole, pieces_, every)]
+        assert groups[0] == groups[1] == groups[2] and len(whole) <= 2 * 300
+
+
+def merged_pairs(pairs: set[tuple[int, int]], n: int) -> list[int]:
+    root = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root] if low != high else root
+    return root
+
+
 def test_simhash_edges(spark: SparkSession, odd: DataFrame, empty: DataFrame) -> None:
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
