@@ -13,10 +13,11 @@ segment its pairs with the rows that hold them, and each segment sends back a nu
 a part that the pair's segment finds, log10(c(vw) + K(v) * P(w)), and one that the chunk knows, -log10(c(v) + K(v)), so parts are
 simply added. One shuffle carries the questions, one the answers; texts stay where they are.
 
-The HEAD most frequent words and their exact counts are broadcast: a fixed size. For the base score, other words ask the segment that their
-own hash leads to, which holds their exact counts. In the model such words share their probability evenly (unseen ones are one of them), and as
-a context one counts as often as the rarest word of the head, which is no less than it does. K(v) * P(w) is sent in steps of a
-sixth of a power of two, rounded down. So the probabilities after a context never add up to more than 1. Trigrams would add some 8 bytes a token to the questions and half as much to the counts, beyond the disk that is given (README).
+The HEAD most frequent words and their exact counts are broadcast: a fixed size. Where there are more, other words ask the segment that
+their own hash leads to, which holds their exact counts. Between words of the head, K(v) * P(w) is sent in steps of a
+sixth of a power of two, rounded down. A pair with another word, or beyond the steps, asks its segment for the level alone and stays with the chunk,
+where its logs are taken once all counts are there, exactly. So every count enters the model as it is, and the
+probabilities after a context never add up to more than 1. Trigrams would add some 8 bytes a token to the questions and half as much to the counts, beyond the disk that is given (README).
 
 Words are known by 64-bit hashes, pairs by 32 bits and their segment.
 """
@@ -44,7 +45,7 @@ CHUNK_BYTES = 1 << 22
 #: Training tokens for each segment, about.
 SEGMENT_TOKENS = 1 << 21
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-#: A step of K(v) * P(w), and the least power of two that it can stand for.
+#: Steps of K(v) * P(w) to a power of two, and the least that one stands for.
 _STEPS, _LEAST = 6, -30
 
 
@@ -194,28 +195,26 @@ def levels_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 class Head:
-    """Exact counts of the most frequent words, and what the model gives the others together."""
+    """Exact counts of the most frequent words."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray, total: int, distinct: int) -> None:
         order = np.argsort(h)
-        self.h, self.n, self.total, self.distinct = h[order], n[order], total, distinct
+        self.h, self.n = h[order], n[order]
         self.bottom = float(np.log10(total + distinct + 1))
-        left, kinds = total - int(n.sum()), distinct - len(h)
-        #: Words outside: log10 of each one's probability, and the most that it can count as a context.
-        self.outside = float(np.log10((left + kinds + 1) / (kinds + 1))) - self.bottom
-        self.most = int(n.min(initial=1 << 62)) if kinds else 0
+        #: What words outside have: no count, if the head holds all words, or one that only their segment knows.
+        self.missing = -1 if distinct > len(h) else 0
 
     def counts(self, words: np.ndarray) -> np.ndarray:
-        """Exact counts; -1 for words outside the head."""
+        """Exact counts; -1 for words that others may know."""
         if not len(self.h):
-            return np.full(len(words), -1, np.int64)
+            return np.full(len(words), self.missing, np.int64)
         h = words.view(np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.n[at], -1)
+        return np.where(self.h[at] == h, self.n[at], self.missing)
 
     def logs(self, n: np.ndarray) -> np.ndarray:
         """log10 P(w) of words by their counts."""
-        return np.where(n >= 0, np.log10(n.clip(0) + 1.0) - self.bottom, self.outside)
+        return np.log10(n.clip(0) + 1.0) - self.bottom
 
 
 def pull(context: np.ndarray) -> np.ndarray:
@@ -224,7 +223,8 @@ def pull(context: np.ndarray) -> np.ndarray:
 
 
 def step_of(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(_STEPS * (log10 / np.log10(2) - _LEAST)), 0, 255).astype(np.uint8)
+    """Steps; there are 256, from 0."""
+    return np.floor(_STEPS * (log10 / np.log10(2) - _LEAST)).astype(np.int64)
 
 
 #: What each step stands for.
@@ -245,12 +245,13 @@ def _unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-#: Distinct pairs of a chunk in a segment (key, step of K(v) * P(w), times), the rows of each; words outside the head (hash, row, times).
-_QUESTION = ("<u4", "u1", "u1", "<u2", "<i8", "<u2", "<u4")
-#: Rows with the sum of their pairs' logs; rows with known tokens and base score of their words outside the head.
-_ANSWER = ("<u2", "<f4", "<u2", "<u4", "<f8")
-#: A chunk's own part: id, whether there is one, tokens, known tokens, base score, score.
-_OWN = ("<i8", "u1", "<i8", "<i8", "<f8", "<f8")
+#: Distinct pairs of a chunk in a segment (key, step of K(v) * P(w), times), the rows of each; keys of pairs whose level is asked for; words outside the head.
+_QUESTION = ("<u4", "u1", "u1", "<u2", "<u4", "<i8")
+#: The segment; rows with the sum of their pairs' logs; levels and counts, in the order asked.
+_ANSWER = ("<i8", "<u2", "<f4", "u1", "<i8")
+#: A chunk's own part: id, whether there is one, tokens, known tokens, base score, score; words outside the head (row, which, whether first);
+#: open pairs (row, which, count of either word, or -1 less which word outside the head it is).
+_OWN = ("<i8", "u1", "<i8", "<i8", "<f8", "<f8", "<u2", "<u4", "u1", "<u2", "<u4", "<i8", "<i8")
 _ROWS = "g int, chunk long, kind int, data binary"
 
 
@@ -268,57 +269,78 @@ def questions(words: np.ndarray, bounds: np.ndarray, head: Head, deal: Dealer) -
     row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(bounds))
     n = head.counts(words)
     inside, logs = n >= 0, head.logs(n)
-    known = np.bincount(row[inside], minlength=rows)
+    known = np.bincount(row[n > 0], minlength=rows)
     base = _sums(row[inside], logs[inside], rows)
+    # words outside the head, in order of segment
+    other, which = np.unique(words[~inside], return_inverse=True)
+    of = deal.segment(mix64(other))
+    order = np.argsort(of, kind="stable")
+    other, of, which = other[order], of[order], np.argsort(order, kind="stable")[which]
+    count = n.copy()
+    count[~inside] = -1 - which
     at = adjacent(words, bounds)
-    context = np.where(n[at - 1] >= 0, n[at - 1], head.most)
-    score = _sums(row[at], -np.log10(context + pull(context)), rows)
-    step = step_of(logs[at] + np.log10(pull(context)))
     first = np.ones(len(words), bool)
     first[at] = False
-    score += _sums(row[first], logs[first], rows)
-    # pairs in order of segment and key; a pair of over 255 rows is named again for each 255
+    score = _sums(row[first & inside], logs[first & inside], rows)
+    context = n[at - 1].clip(0)
+    step = step_of(logs[at] + np.log10(pull(context)))
     h = pair_hash(words[at - 1], words[at])
+    plain = inside[at - 1] & inside[at] & (step >= 0) & (step < 256)
+    open_h, pair = np.unique(h[~plain], return_inverse=True)
+    still = at[~plain]
+    at, context, step, h = at[plain], context[plain], step[plain].astype(np.uint8), h[plain]
+    score += _sums(row[at], -np.log10(context + pull(context)), rows)
+    # pairs in order of segment and key; a pair of over 255 rows is named again for each 255
     order = np.argsort(h, kind="stable")
-    h, of, second = h[order], row[at][order].astype("<u2"), step[order]
+    h, of_row, second = h[order], row[at][order].astype("<u2"), step[order]
     new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
     place = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
     start = np.flatnonzero(place % 255 == 0)
     times = np.diff(np.append(start, len(h))).astype("u1")
-    names, cut = _cuts(deal.segment(h[start]))
-    pairs = {int(g): (a, b) for g, a, b in zip(names, cut[:-1], cut[1:], strict=True)}
     key, edge = deal.key(h[start]).astype("<u4"), np.append(start, len(h))
-    # words outside the head, once for each row
-    other = np.stack([words[~inside].view(np.int64), row[~inside]])
-    g = deal.segment(mix64(words[~inside]))
-    order = np.lexsort((other[1], other[0], g))
-    other, g = other[:, order], g[order]
-    fresh = np.flatnonzero(np.append(True, (other[:, 1:] != other[:, :-1]).any(axis=0))) if other.shape[1] else np.zeros(0, np.int64)
-    count = np.diff(np.append(fresh, other.shape[1])).astype("<u4")
-    names, cut = _cuts(g[fresh])
-    alone = {int(x): (a, b) for x, a, b in zip(names, cut[:-1], cut[1:], strict=True)}
+    spans = []
+    for segments in (deal.segment(h[start]), deal.segment(open_h), of):
+        names, cut = _cuts(segments)
+        spans.append({int(g): (a, b) for g, a, b in zip(names, cut[:-1], cut[1:], strict=True)})
+    open_key, other = deal.key(open_h).astype("<u4"), other.view(np.int64).astype("<i8")
     asked = []
-    for x in sorted(pairs.keys() | alone.keys()):
-        a, b = pairs.get(x, (0, 0))
-        c, d = alone.get(x, (0, 0))
-        own = fresh[c:d]
-        asked.append((x, _pack(key[a:b], second[start[a:b]], times[a:b], of[edge[a] : edge[b]] if b > a else of[:0], other[0, own].astype("<i8"), other[1, own].astype("<u2"), count[c:d])))
-    return asked, [np.diff(bounds), known, base, score]
+    for g in sorted(set().union(*spans)):
+        (a, b), (c, d), (e, f) = (x.get(g, (0, 0)) for x in spans)
+        asked.append((g, _pack(key[a:b], second[start[a:b]], times[a:b], of_row[edge[a] : edge[b]] if b > a else of_row[:0], open_key[c:d], other[e:f])))
+    return asked, [np.diff(bounds), known, base, score, row[~inside], which, first[~inside], row[still], pair, count[still - 1], count[still]]
 
 
-def answer(data: bytes, bits: np.ndarray, h: np.ndarray, n: np.ndarray, head: Head) -> bytes:
-    """What a segment knows of a question: sums by row."""
-    key, step, times, rows, word, word_row, count = _unpack(data, _QUESTION)
+def answer(g: int, data: bytes, bits: np.ndarray, h: np.ndarray, n: np.ndarray) -> bytes:
+    """What a segment knows of a question: sums by row, levels and counts."""
+    key, step, times, rows, open_key, word = _unpack(data, _QUESTION)
     got = levels_in(bits, key)
     log = np.log10(np.where(got > 0, 2.0 ** (got - 1), 0) + _VALUES[step])
     sums = np.bincount(rows, np.repeat(log, times)) if len(rows) else np.zeros(0)
     here = np.unique(rows)
     at = np.minimum(np.searchsorted(h, word), max(len(h) - 1, 0))
     c = np.where(h[at] == word, n[at], 0) if len(h) else np.zeros(len(word), np.int64)
-    there = np.unique(word_row)
-    known = np.bincount(word_row, np.where(c > 0, count, 0))[there] if len(there) else np.zeros(0)
-    base = np.bincount(word_row, count * (np.log10(c + 1.0) - head.bottom))[there] if len(there) else np.zeros(0)
-    return _pack(here.astype("<u2"), sums[here].astype("<f4"), there.astype("<u2"), known.astype("<u4"), base.astype("<f8"))
+    return _pack(np.array([g], "<i8"), here.astype("<u2"), sums[here].astype("<f4"), levels_in(bits, open_key).astype("u1"), c.astype("<i8"))
+
+
+def closed(own: list[np.ndarray], answers: list[bytes], head: Head) -> list[np.ndarray]:
+    """Tokens, known tokens, base score and score by row: a chunk's own part with all answers."""
+    n_tokens, known, base, score, rows, which, first, pair_rows, pair, before, after = own
+    # answers by segment: the order of the words and pairs asked for, and the same one each time for the sums
+    parts = sorted((_unpack(data, _ANSWER) for data in answers), key=lambda x: int(x[0][0]))
+    known, base, score = known.copy(), base.copy(), score.copy()
+    for _, some, log, _, _ in parts:
+        score[some] += log
+    level, counts = (np.concatenate([np.zeros(0, np.int64), *(x[k].astype(np.int64) for x in parts)]) for k in (3, 4))
+    c = counts[which]
+    known += np.bincount(rows[c > 0], minlength=len(known))
+    base += _sums(rows, head.logs(c), len(base))
+    score += _sums(rows[first > 0], head.logs(c[first > 0]), len(score))
+    v, w = before.astype(np.int64), after.astype(np.int64)
+    for x in (v, w):
+        x[x < 0] = counts[-1 - x[x < 0]]
+    level = level[pair]
+    log = np.log10(np.where(level > 0, 2.0 ** (level - 1), 0) + pull(v) * 10 ** head.logs(w)) - np.log10(v + pull(v))
+    return [n_tokens, known, base, score + _sums(pair_rows, log, len(score))]
 
 
 def scores(docs: DataFrame, segments: DataFrame, head: Head, deal: Dealer) -> DataFrame:
@@ -350,21 +372,15 @@ def scores(docs: DataFrame, segments: DataFrame, head: Head, deal: Dealer) -> Da
                 else:
                     if g.as_py() != held:  # a segment without any pair or word
                         held, bits, h, n = g.as_py(), bits[:0], h[:0], n[:0]
-                    out.append((chunk.as_py(), 1, answer(data, bits, h, n, shared.value)))
+                    out.append((chunk.as_py(), 1, answer(g.as_py(), data, bits, h, n)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["chunk", "kind", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for parts in batch.column(1):
                 kind, data = parts.values.field("kind").to_pylist(), parts.values.field("data").to_pylist()
-                ids, valid, n_tokens, known, base, score = _unpack(data[kind.index(2)], _OWN)
-                known, base, score = known.copy(), base.copy(), score.copy()
-                # always in the same order, so that sums don't depend on how rows came
-                for k in sorted((k for k in range(len(kind)) if kind[k] == 1), key=data.__getitem__):
-                    rows, log, word_rows, more, base_more = _unpack(data[k], _ANSWER)
-                    score[rows] += log
-                    known[word_rows] += more
-                    base[word_rows] += base_more
+                ids, valid, *own = _unpack(data[kind.index(2)], _OWN)
+                n_tokens, known, base, score = closed(own, [d for d, k in zip(data, kind, strict=True) if k == 1], shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *map(pa.array, (n_tokens, known, base, score))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     asked = docs.select("doc_id", "text").mapInArrow(ask, _ROWS)
