@@ -81,6 +81,10 @@ class Pieces:
         #: A newline without a piece stands between words as a space does.
         self.newline = None if not bpe or "\n" in self.ids else array("i", self.fallback("\n")).tobytes()
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: For merges: whether a piece, by its id and that of the piece before, can follow; and where states go on a character, as far as met.
+        self.after: list[dict[int, bool]] = [{} for _ in pieces]
+        self.moves: list[dict[str, int]] = []
+        self.n_after = self.n_moves = 0
         self.rank = {p: -pieces[k][1] for p, k in self.ids.items()}
         self.trees: dict[int, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
         self._automaton()
@@ -125,6 +129,69 @@ class Pieces:
                 self.fail[child] = goto[back].get(c, 0)
             back = self.fail[state]
             self.also[state] = back if self.ends[back] else self.also[back]
+        #: All pieces that end in a state, longest first.
+        self.outputs: list[tuple[tuple[int, int], ...]] = [()] * len(goto)
+        for state in [0, *queue]:
+            rest = self.outputs[self.also[state]] if self.also[state] else ()
+            self.outputs[state] = (self.ends[state], *rest) if self.ends[state] else rest
+        self.moves = [{} for _ in goto]
+
+    def _move(self, state: int, c: str) -> int:
+        """Where a state goes on a character, remembered."""
+        if self.n_moves >= REMEMBERED:
+            self.moves[:], self.n_moves = [{} for _ in self.goto], 0
+        at = state
+        while at and c not in self.goto[at]:
+            at = self.fail[at]
+        self.moves[state][c] = found = self.goto[at].get(c, 0)
+        self.n_moves += 1
+        return found
+
+    def _can_follow(self, one: int, two: int) -> bool:
+        """``follows``, remembered."""
+        if self.n_after >= REMEMBERED:
+            self.after[:], self.n_after = [{} for _ in self.pieces], 0
+        self.after[two][one] = found = self.follows(one, two)
+        self.n_after += 1
+        return found
+
+    def by_merges(self, text: str) -> list[int]:
+        """The pass over a run of text, for BPE models."""
+        moves, outputs, after = self.moves, self.outputs, self.after
+        ids: list[int | None] = [None] * (len(text) + 1)  # id of the piece that ends here; -1: no piece
+        sizes = [1] * (len(text) + 1)
+        ids[0] = -1
+        state = i = 0
+        for c in text:
+            i += 1
+            to = moves[state].get(c)
+            state = self._move(state, c) if to is None else to
+            for n, k in outputs[state]:
+                before = ids[i - n]
+                if before is None:
+                    continue
+                if before < 0:
+                    fits = self.tree(k) is not None
+                else:
+                    fits = after[k].get(before)
+                    if fits is None:
+                        fits = self._can_follow(before, k)
+                if fits:
+                    ids[i], sizes[i] = k, n
+                    break
+            else:
+                if c not in self.ids:
+                    ids[i] = -1
+        out, i = [], len(text)
+        while i:
+            k = ids[i]
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend(reversed(self.fallback(text[i - 1])))
+            i -= sizes[i]
+        out.reverse()
+        return out
 
     def merged(self, text: str) -> list[int]:
         """Plain BPE: the best-scored adjacent pair is merged, the first of equals, until none is a piece."""
@@ -278,7 +345,7 @@ class Pieces:
                     return got
             else:
                 # equal scores of runs of spaces leave the order of merges open to the place: the merges themselves decide
-                ids = self.merged(part) if self.bpe and part.startswith(SPACE * 2) else self.best(part)
+                ids = self.merged(part) if self.bpe and part.startswith(SPACE * 2) else self.by_merges(part) if self.bpe else self.best(part)
                 got = array("i", ids).tobytes()
         if len(part) < 64:
             if len(self.words) >= REMEMBERED:
@@ -290,6 +357,8 @@ class Pieces:
         """Drop what was remembered, so that an idle worker holds the tokenizer alone."""
         self.words, self.older = {}, {}
         self.pairs.clear()
+        self.after[:], self.n_after = [{} for _ in self.pieces], 0
+        self.moves[:], self.n_moves = [{} for _ in self.goto], 0
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes join to characters, and the prefix space goes."""

@@ -758,6 +758,22 @@ def test_same_ids_as_the_library(tokenizer: pieces.Pieces, docs: list[Row]) -> N
             assert tokenizer.decode(got) == text
 
 
+def test_a_pass_remembers_moves_and_stays_with_the_merges(tokenizer: pieces.Pieces, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Words met again follow no failure links, and what is remembered is bounded; ids are those of the merges."""
+    rng = random.Random(6)
+    words = [pieces.SPACE + "".join(rng.choice("abcdeinorsté中\u0301\x00😀") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    want = [tokenizer.merged(w) for w in words]
+    assert [tokenizer.by_merges(w) for w in words] == [tokenizer.best(w) for w in words] == want
+    with monkeypatch.context() as m:
+        m.setattr(tokenizer, "fail", None)
+        assert [tokenizer.by_merges(w) for w in words] == want
+    tokenizer.forget()
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    assert [tokenizer.by_merges(w) for w in words] == want
+    assert sum(map(len, tokenizer.moves)) <= 50 and sum(map(len, tokenizer.after)) <= 50
+    tokenizer.forget()
+
+
 def test_unigram_is_the_best_path() -> None:
     rng = random.Random(4)
     names = sorted({"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 3))) for _ in range(30)} | {"a", "b", "▁"})
