@@ -156,6 +156,22 @@ def test_near_channel_against_brute_force(spark: SparkSession, small: str) -> No
     assert got == pytest.approx(want)
 
 
+def test_near_channel_of_full_bands_in_blocks(spark: SparkSession) -> None:
+    """Bands that all items share: with a bucket of 5 a query sees the first five, however the blocks are cut."""
+    rows = [(f"r{x:02}", f"i{x:02}", "the same words in the same order, " * 3 + f"and {x:02} at the end", x + 1, "s", "2026-09-26") for x in range(60)]
+    items = spark.createDataFrame(rows, "record_id string, item_id string, text string, arrival_seq long, scope_id string, business_date string")
+    made = fingerprints.simhash(items).join(fingerprints.minhash(items), "record_id")
+    for block in (7, 1000):
+        got = recall.near_channel(items, made, k=3, bucket=5, block=block).collect()
+        assert sorted({r["rank"] for r in got}) == [1, 2, 3] and all(r["arrival_seq"] < int(r["query_id"][1:]) + 1 for r in got)
+        seen = {}
+        for r in made.select("record_id", F.explode(F.concat(fingerprints.simhash_bands(F.col("simhash")), fingerprints.minhash_bands(F.col("signature")))).alias("band")).collect():
+            seen.setdefault(r["band"], []).append(r["record_id"])
+        allowed = {(q, c) for v in seen.values() for q in v for c in sorted(v)[:5] if c < q}
+        assert {(r["query_id"], r["cand_id"]) for r in got} <= allowed
+        assert len(got) == sum(min(3, sum(1 for a, _ in allowed if a == q)) for q in {a for a, _ in allowed})
+
+
 def test_hash_channel_survives_repartitioning(spark: SparkSession, small: str) -> None:
     items = S.items(spark, small)
     rows = lambda df: sorted(map(tuple, recall.hash_channel(df).select("query_id", "cand_id", "rank").collect()))
