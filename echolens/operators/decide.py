@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .recall import equal_texts
 
 DUPLICATE, DISTINCT, BOUNDARY = "重复", "不重复", "边界case/疑难case"
 #: Reasons for an unresolved pair, the most important first (fixed values).
@@ -80,7 +81,11 @@ def aggregate(items: DataFrame, pairs: DataFrame) -> DataFrame:
         F.min(F.when(F.col("outcome") == "unresolved", F.struct(rank_of(F.col("code")).alias("r"), "code"))).alias("issue"),
         F.array_sort(F.collect_set(F.when(F.col("outcome") == "equivalent", F.struct("cand_seq", "cand_item_id")))).alias("equal"),
     )
-    rows = items.join(one, "record_id", "left").withColumn("any_equal", F.coalesce("any_equal", F.lit(0)))
+    return decided(items.join(one, "record_id", "left").withColumn("any_equal", F.coalesce("any_equal", F.lit(0))))
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """The decision of items with what their pairs come to: any_equal, any_conflict, issue, equal."""
     distinct = F.col("issue").isNull() & F.col("coverage_complete") & ~F.col("subject_missing")
     decision = F.when(F.col("any_equal") == 1, DUPLICATE).when(distinct, DISTINCT).otherwise(BOUNDARY)
     code = (
@@ -89,13 +94,15 @@ def aggregate(items: DataFrame, pairs: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("issue.code", F.when(F.col("subject_missing"), "SUBJECT_UNRESOLVED").otherwise("RECALL_INCOMPLETE")))
     )
     ids = F.when(F.col("any_equal") == 1, F.transform("equal", lambda x: x["cand_item_id"])).otherwise(F.array().cast("array<string>"))
-    return rows.select("record_id", "item_id", decision.alias("decision"), ids.alias("duplicate_ids"), code.alias("code"))
+    extra = [c for c in ("n_equal",) if c in rows.columns]
+    return rows.select("record_id", "item_id", decision.alias("decision"), ids.alias("duplicate_ids"), code.alias("code"), *extra)
 
 
-def public_view(decisions: DataFrame) -> DataFrame:
-    """What leaves the engine: decision, ids and a reason without internal codes; only duplicates may name ids."""
+def public_view(decisions: DataFrame, n_ids: Column | None = None) -> DataFrame:
+    """What leaves the engine: decision, ids and a reason without internal codes; only duplicates may name ids.
+    ``n_ids``: how many these are, where they aren't listed."""
     reason = F.when(F.col("decision") == DUPLICATE, "主体和核心事件一致。").when(F.col("decision") == DISTINCT, "未发现可比较的重复候选。").otherwise("证据不足，需要复核。")
-    sound = (F.col("decision") == DUPLICATE) == (F.size("duplicate_ids") > 0)
+    sound = (F.col("decision") == DUPLICATE) == ((F.size("duplicate_ids") if n_ids is None else n_ids) > 0)
     return decisions.withColumn("reason", reason).withColumn("valid", sound)
 
 
@@ -106,16 +113,22 @@ def audit(pairs: DataFrame, version: str) -> DataFrame:
     return pairs.withColumn("comparison_id", F.sha2(text, 256)).withColumn("payload_hash", F.sha2(payload, 256))
 
 
-def certified_pairs(items: DataFrame, required: DataFrame, least: int = 50) -> DataFrame:
-    """Outcomes of the required pairs by text certificate alone: EXACT or LOSSLESS texts of ``least`` code points are equivalent,
-    everything else is open. (record_id, cand_id, cand_seq, cand_item_id, outcome, code)"""
-    cur = items.select("record_id", "text")
-    his = items.select(F.col("record_id").alias("cand_id"), F.col("arrival_seq").alias("cand_seq"), F.col("item_id").alias("cand_item_id"), F.col("text").alias("cand_text"))
-    proof = T.certificate(F.col("cand_text"), F.col("text"), least)
-    rows = required.join(cur, "record_id").join(his, "cand_id").withColumn("proof", F.concat(proof, F.lit("_TEXT_MATCH")))
-    rows = rows.withColumn("n_conflicts", F.lit(0)).withColumn("issue", F.lit("FACT_INCOMPLETE")).withColumn("equivalent", F.col("proof").isNotNull())
-    outcome, code = pair_outcome(decoupled=True)
-    return rows.select("record_id", "cand_id", "cand_seq", "cand_item_id", outcome.alias("outcome"), code.alias("code"))
+def certified(items: DataFrame, listed: bool = True, least: int = 50) -> DataFrame:
+    """Items with what their pairs of equal text come to by text certificate alone, for ``decided``; n_equal has the number of equivalent ones,
+    and ``listed`` says whether ``equal`` names them.
+
+    Of a group of equal texts all have ``least`` code points and are equivalent, EXACT or LOSSLESS, or none is and all pairs are open. Ids
+    are read off the group where it lies, so pairs are never shuffled.
+    """
+    rows = equal_texts(items, (F.length(T.normalized(F.col("text"))) >= least).alias("long"))
+    is_equal = (F.col("hits") > 0) & F.col("long")
+    issue = F.when((F.col("hits") > 0) & ~F.col("long"), F.struct(rank_of(F.lit("FACT_INCOMPLETE")).alias("r"), F.lit("FACT_INCOMPLETE").alias("code")))
+    equal = F.array().cast("array<struct<cand_seq:bigint,cand_item_id:string>>")
+    if listed:
+        whole = Window.partitionBy("scope_id", "business_date", "group").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn("members", F.collect_list(F.struct(F.col("arrival_seq").alias("cand_seq"), F.col("item_id").alias("cand_item_id"))).over(whole))
+        equal = F.when(is_equal, F.filter(F.slice("members", F.lit(1), F.col("earlier")), lambda _, place: ~F.array_contains("own", place + 1))).otherwise(equal)
+    return rows.select("record_id", "item_id", is_equal.cast("int").alias("any_equal"), F.lit(0).alias("any_conflict"), issue.alias("issue"), equal.alias("equal"), F.when(is_equal, F.col("hits")).otherwise(0).alias("n_equal"))
 
 
 def align_by_dictionary(history: DataFrame, current: DataFrame, aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
