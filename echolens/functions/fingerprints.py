@@ -16,42 +16,101 @@ SIMHASH, MINHASH, SEED = "simhash_v1", "minhash_v1", "news_flash_dedup_v1"
 PERMUTATIONS, BANDS = 128, 32
 
 
-#: Features whose hashes a worker keeps; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Features whose hashes a worker keeps, and those with all permutations; beyond that it starts anew. Rows that it returns at once.
+REMEMBERED, PERMUTED, ROWS = 200_000, 50_000, 1000
 
 
-def simhash(items: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
-    """(key, simhash): a bit is 1 if more features have it than not. Blank texts have no row.
+class Hashes(dict):
+    """The hash of each feature of a kind that was met."""
 
-    One Arrow pass without a shuffle: each distinct feature of a worker is hashed once, votes are counted by text.
-    """
+    def __init__(self, kind: str) -> None:
+        self.lead = f"{SIMHASH}|{kind}|".encode()
+
+    def __missing__(self, feature: str) -> int:
+        value = self[feature] = int.from_bytes(hashlib.sha256(self.lead + feature.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+        return value
+
+    def of(self, found: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+class Permuted(dict):
+    """The place of each shingle that was met among ``rows``, its hashes by permutation."""
+
+    def __init__(self, permutations: int) -> None:
+        self.prefix = [f"{MINHASH}|{SEED}|{p}|".encode() for p in range(permutations)]
+        self.rows = np.zeros((1024, permutations), np.uint64)
+
+    def __missing__(self, shingle: str) -> int:
+        at = self[shingle] = len(self)
+        if at >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        tail = shingle.encode()
+        self.rows[at] = [int.from_bytes(hashlib.sha256(p + tail).digest()[:8], "big") for p in self.prefix]
+        return at
+
+    def least(self, found: list[str]) -> np.ndarray:
+        if len(self) > PERMUTED:
+            self.clear()
+        out = np.full(len(self.prefix), (1 << 64) - 1, np.uint64)
+        for low in range(0, len(found), 4096):
+            at = np.fromiter(map(self.__getitem__, found[low : low + 4096]), np.int64)
+            out = np.minimum(out, self.rows[at].min(axis=0))
+        return out
+
+
+def voted(h: np.ndarray) -> np.int64:
+    """A bit is 1 if more of the hashes have it than not."""
+    votes = np.zeros(64, np.int64)
+    for low in range(0, len(h), 1 << 15):
+        votes += np.unpackbits(h[low : low + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0]
+
+
+def as_hex(signatures: np.ndarray) -> pa.Array:
+    """Rows of words as lists of 16 hex digits."""
+    n, width = signatures.shape
+    digits = np.frombuffer(signatures.astype(">u8").tobytes().hex().encode(), np.uint8)
+    words = pa.StringArray.from_buffers(n * width, pa.py_buffer(np.arange(0, 16 * n * width + 1, 16, dtype=np.int32)), pa.py_buffer(digits))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, int]] = {"char": {}, "token": {}}
 
-        def hashes(kind: str, found: list[str]) -> np.ndarray:
-            held, lead = known[kind], f"{SIMHASH}|{kind}|".encode()
-            if len(held) > REMEMBERED:
-                held.clear()
-            for f in found:
-                if f not in held:
-                    held[f] = int.from_bytes(hashlib.sha256(lead + f.encode("utf-8", "surrogatepass")).digest()[:8], "big")
-            return np.fromiter(map(held.__getitem__, found), np.uint64, len(found))
+def prints(items: DataFrame, key: str = "record_id", text: str = "text", permutations: int = PERMUTATIONS, sim: bool = True, least: bool = True) -> DataFrame:
+    """(key, simhash, signature), or one of the two, by one Arrow pass without a shuffle. Blank texts have no row.
 
+    A text comes with its distinct shingles and tokens each in one string: lists of them would be many objects for all rows of a batch.
+    A shingle is three code points, or the whole of a shorter text; a token holds no line feed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars, words, places = Hashes("char"), Hashes("token"), Permuted(permutations)
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            for row, (chars, words) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                h = np.concatenate([hashes("char", chars.as_py()), hashes("token", words.as_py())])
-                votes = np.zeros(64, np.int64)
-                for low in range(0, len(h), 1 << 15):
-                    votes += np.unpackbits(h[low : low + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[row] = np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [key, "simhash"])
-
-    kind = items.schema[key].dataType.simpleString()
+            for low in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(low, ROWS)
+                sims, signatures = np.zeros(piece.num_rows, np.int64), np.zeros((piece.num_rows, permutations), np.uint64)
+                for row in range(piece.num_rows):
+                    joined = piece.column("chars")[row].as_py()
+                    found = [joined[x : x + 3] for x in range(0, len(joined), 3)]
+                    if sim:
+                        spoken = piece.column("words")[row].as_py()
+                        sims[row] = voted(np.concatenate([chars.of(found), words.of(spoken.split("\n") if spoken else [])]))
+                    if least:
+                        signatures[row] = places.least(found)
+                yield pa.RecordBatch.from_arrays([piece.column(0), *([pa.array(sims)] if sim else []), *([as_hex(signatures)] if least else [])], names)
+
+    names = [key, *(["simhash"] if sim else []), *(["signature"] if least else [])]
+    kinds = [items.schema[key].dataType.simpleString(), *(["long"] if sim else []), *(["array<string>"] if least else [])]
     normal = T.normalized(F.col(text))
-    ready = items.where(T.indexable(F.col(text))).select(key, T.shingles(normal).alias("chars"), T.tokens(normal).alias("words"))
-    return ready.mapInArrow(run, f"`{key}` {kind}, simhash long")
+    spoken = [F.array_join(T.tokens(normal), "\n").alias("words")] if sim else []
+    ready = items.where(T.indexable(F.col(text))).select(key, F.array_join(T.shingles(normal), "").alias("chars"), *spoken)
+    return ready.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def simhash(items: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+    """(key, simhash): a bit is 1 if more features have it than not. Blank texts have no row."""
+    return prints(items, key, text, least=False)
 
 
 def hex64(value: Column) -> Column:
@@ -68,39 +127,25 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def minhash(items: DataFrame, key: str = "record_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
-    """(key, signature): for each permutation the smallest hash over the shingles, as 16 hex digits. Blank texts have no row.
+    """(key, signature): for each permutation the smallest hash over the shingles, as 16 hex digits. Blank texts have no row."""
+    return prints(items, key, text, permutations, sim=False)
 
-    One Arrow pass: a batch hashes each of its distinct shingles once for each permutation, and takes minima by rows.
-    """
-    prefix = [f"{MINHASH}|{SEED}|{p}|".encode() for p in range(permutations)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        rows = np.zeros((1024, permutations), np.uint64)
-        for batch in batches:
-            out = []
-            for found in batch.column(1).to_pylist():
-                if len(place) > 200_000:
-                    place.clear()
-                at = np.empty(len(found), np.int64)
-                for k, s in enumerate(found):
-                    got = place.get(s)
-                    if got is None:
-                        got = place[s] = len(place)
-                        if got >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        tail = s.encode()
-                        rows[got] = [int.from_bytes(hashlib.sha256(p + tail).digest()[:8], "big") for p in prefix]
-                    at[k] = got
-                least = np.full(permutations, (1 << 64) - 1, np.uint64)
-                for low in range(0, len(at), 4096):
-                    least = np.minimum(least, rows[at[low : low + 4096]].min(axis=0))
-                out.append([f"{x:016x}" for x in least.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], [key, "signature"])
-
-    kind = items.schema[key].dataType.simpleString()
-    ready = items.where(T.indexable(F.col(text))).select(key, T.shingles(T.normalized(F.col(text))).alias("shingles"))
-    return ready.mapInArrow(run, f"`{key}` {kind}, signature array<string>")
+def packed(signature: Column) -> Column:
+    """A signature in bytes."""
+    return F.unhex(F.array_join(signature, ""))
+
+
+def band_bytes(simhash: Column, signature: Column) -> Column:
+    """What the bands hold, in bytes: those of a SimHash, then those of a packed signature. A band beyond its end is null."""
+    sims = [F.substring(F.unhex(hex64(simhash)), 2 * k + 1, 2) for k in range(4)]
+    return F.array(*sims, *[F.when(F.length(signature) >= 32 * (k + 1), F.substring(signature, 32 * k + 1, 32)) for k in range(BANDS)])
+
+
+def band_name(number: Column, held: Column) -> Column:
+    """The name of a band by its place in ``band_bytes`` and what it holds."""
+    sim = F.concat(F.lit(f"{SIMHASH}:"), number, F.lit(":"), F.lower(F.hex(held)))
+    return F.when(number < 4, sim).otherwise(F.concat(F.lit(f"{MINHASH}:"), number - 4, F.lit(":"), F.sha2(held, 256)))
 
 
 def minhash_bands(signature: Column, bands: int = BANDS) -> Column:

@@ -255,6 +255,26 @@ def test_bm25_channel_shuffles_neither_postings_nor_scores(spark: SparkSession)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fingerprints_of_odd_texts_in_one_pass(spark: SparkSession) -> None:
+    """Shorter texts than a shingle, code points beyond the first plane, symbols, and more rows than are returned at once; features aren't sent as lists."""
+    texts = ["a", "ab", "abc", "𠮷公司 𠮷!", "x\r\ny\u00a0z\u0085.", "  ", "e\u0301e\u0301e\u0301", "the same words " * 20]
+    rows = [(f"{x:05}", t) for x, t in enumerate(texts)] + [(f"{x:05}", f"text {x}") for x in range(10, 2300)]
+    items = spark.createDataFrame(rows, "record_id string, text string").coalesce(1)
+    normal = items.where("trim(text) <> ''").select("record_id", T.normalized(F.col("text")).alias("t")).select("record_id", T.shingles(F.col("t")).alias("g"), T.tokens(F.col("t")).alias("w")).collect()
+    made = fingerprints.prints(items)
+    got = {r["record_id"]: r for r in made.collect()}
+    assert set(got) == {r["record_id"] for r in normal}
+    eight = lambda text: int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
+    for r in normal[:40] + normal[-40:]:
+        hashes = [eight(f"simhash_v1|char|{g}") for g in r["g"]] + [eight(f"simhash_v1|token|{w}") for w in r["w"]]
+        assert got[r["record_id"]]["simhash"] % (1 << 64) == sum(1 << p for p in range(64) if 2 * sum(h >> p & 1 for h in hashes) > len(hashes))
+        assert got[r["record_id"]]["signature"] == [f"{min(eight(f'minhash_v1|news_flash_dedup_v1|{p}|{g}') for g in r['g']):016x}" for p in range(128)]
+    assert "array<string>" not in made._jdf.queryExecution().analyzed().children().head().schema().simpleString()
+    bands = made.select("record_id", F.explode(F.concat(fingerprints.simhash_bands(F.col("simhash")), fingerprints.minhash_bands(F.col("signature")))).alias("band"))
+    held = made.select("record_id", F.posexplode(fingerprints.band_bytes(F.col("simhash"), fingerprints.packed(F.col("signature")))).alias("number", "held")).select("record_id", fingerprints.band_name(F.col("number"), F.col("held")).alias("band"))
+    assert bands.exceptAll(held).count() == 0 and held.count() == bands.count() == 36 * len(normal)
+
+
 def test_hash_channel_survives_repartitioning(spark: SparkSession, small: str) -> None:
     items = S.items(spark, small)
     rows = lambda df: sorted(map(tuple, recall.hash_channel(df).select("query_id", "cand_id", "rank").collect()))
